@@ -21,6 +21,7 @@ WINDOW = 13
 #: Benchmark text for one automaton, in bytes; a larger benchmark is scanned for in blocks.
 BLOCK_BYTES = 8 << 20
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_ANY_CASE = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -66,7 +67,7 @@ def scan(machine, words: list[str]) -> tuple[np.ndarray, set]:
 def spans(text: str | None, hit: np.ndarray) -> list[tuple[int, int]]:
     """Character spans of the original text that the hit words make up."""
     out: list[tuple[int, int]] = []
-    where = [m.span() for m in _WORD.finditer(text)] if isinstance(text, str) and hit.any() else []
+    where = [m.span() for m in _ANY_CASE.finditer(text)] if isinstance(text, str) and hit.any() else []
     for i in np.flatnonzero(hit):
         if out and i and hit[i - 1]:
             out[-1] = (out[-1][0], where[i][1])
