@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -62,11 +63,30 @@ class Tables:
                     path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` with more fields behind it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def sample(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """At most ``n`` rows, the first by a hash of the key; spread over all of the input.
+
+    A count sets a share to keep first, so that no task has more than its part
+    of the sample to send.
+    """
+    total = rows.count()
+    h = F.xxhash64(F.lit(11), F.col(key))
+    if total > 4 * n:
+        rows = rows.where(F.shiftrightunsigned(h, 24) < int(2**40 * 2 * n / total))
+    return rows.orderBy(h, key).limit(n)
+
+
 def crc_bucket(n: int, col: str = "doc_id"):
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

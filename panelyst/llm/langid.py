@@ -125,11 +125,8 @@ def predict(model: Model | None, texts: list[str | None], margin: float) -> tupl
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fit on a bounded, hash-ordered sample of the labelled rows outside the held-out share."""
-    rows = (
-        docs.where((C.crc_bucket(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("text", "lang", F.xxhash64(F.lit(11), F.col("doc_id")).alias("_h"), "doc_id")
-        .orderBy("_h", "doc_id").limit(sample_rows).select("text", "lang").collect()
-    )
+    labelled = docs.where((C.crc_bucket(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = C.sample(labelled.select("doc_id", "text", "lang"), sample_rows).select("text", "lang").collect()
     return fit([(r[0], r[1]) for r in rows])
 
 
