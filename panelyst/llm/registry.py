@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, quality_rules, secrets, token_counts
+from . import decontaminate, langid, packing, quality_rules, secrets, substring_dedup, token_counts
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op4_packing": packing.op4_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_decontaminate": decontaminate.op7_decontaminate,
