@@ -104,3 +104,55 @@ def pieces_ok(docs: list[tuple], rows: list[dict], encode, limit: int = 2048) ->
             assert r["offset"] == at and r["length"] > 0
             at += r["length"]
         assert at <= limit
+
+
+def near_classes(docs: list[tuple], k: int = 5, similarity: float = 0.8) -> dict:
+    """Least id of each document's component of shingle-set similarity, by way of all co-occurrences."""
+    sets = {}
+    for d, t in docs:
+        w = WORD.findall(t or "")
+        sets[d] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else {("", t or "")}
+    return _join(sets, similarity)
+
+
+def _join(sets: dict, similarity: float) -> dict:
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            root[d] = root[root[d]]
+            d = root[d]
+        return d
+
+    holders = defaultdict(list)
+    for d in sorted(sets):
+        common = Counter(e for s in sets[d] for e in holders[s])
+        for e, n in common.items():
+            if n >= similarity * (len(sets[d]) + len(sets[e]) - n):
+                a, b = sorted((find(d), find(e)))
+                root[b] = a
+        for s in sets[d]:
+            holders[s].append(d)
+    return {d: find(d) for d in sets}
+
+
+def line_dedup(docs: list[tuple], k: int = 8, similarity: float = 0.8) -> dict:
+    """Per document: lines with a word, removed lines, digest of what is left."""
+    norm = lambda s: s.strip(" \t\x0b\x0c\r").lower()
+    places = defaultdict(list)
+    for d, t in sorted(docs):
+        for i, line in enumerate((t or "").split("\n")):
+            if norm(line):
+                places[norm(line)].append((d, i))
+    sets = {s: {s[i : i + k] for i in range(max(1, len(s) - k + 1))} for s in places}
+    group = defaultdict(list)
+    for s, r in _join(sets, similarity).items():
+        group[r] += places[s]
+    gone = {p for ps in group.values() for p in sorted(ps)[1:]}
+    out = {}
+    for d, t in docs:
+        lines = (t or "").split("\n")
+        left = [x for i, x in enumerate(lines) if (d, i) not in gone]
+        n = sum(bool(WORD.search(x)) for x in lines)
+        out[d] = (n, len(lines) - len(left), sha("\n".join(left)))
+    return out
