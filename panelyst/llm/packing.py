@@ -10,6 +10,7 @@ as sequences of power-of-two lengths, which need no padding.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from dataclasses import dataclass
 
@@ -38,49 +39,48 @@ class Limits:
         return np.array([self.tokens, self.segments, self.loss_tokens], float)
 
 
-class Encoder:
-    """The tokenizer's ids of whole texts, with the ids of seen runs remembered up to a bound."""
+def _byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: printable ones as they are, the rest from U+0100 on in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def __init__(self, path: str, remembered: int = 400_000):
+
+class Encoder(dict):
+    """The tokenizer's ids of whole texts.
+
+    As a dictionary it holds the ids of words, as bytes, up to a bound. A new
+    word's runs of letters go straight to the tokenizer's model; other runs and
+    texts with unusual characters go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, remembered: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tk, self.remembered = Tokenizer.from_file(path), remembered
+        super().__init__()
+        self.tk, self.remembered, self.letters = Tokenizer.from_file(path), remembered, _byte_letters()
         self.tk.no_truncation()
         self.tk.no_padding()
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.start, self.size, self.used = np.empty(1 << 16, np.int32), np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64), 0
-
-    def learn(self, runs: list[str]) -> None:
-        for run, enc in zip(runs, self.tk.encode_batch_fast(runs, add_special_tokens=False)):
-            ids, k = enc.ids, len(self.index)
-            if k == len(self.start):
-                self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids) + len(ids))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[run] = k
+        self.model = self.tk.model
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():
+            run = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(run)]
+            out = struct.pack(f"<{len(ids)}i", *ids)
+        elif len(runs := _RUN.findall(word)) > 1:
+            out = b"".join([self[r] for r in runs])
+        else:
+            out = np.array(self.tk.encode(word, add_special_tokens=False).ids, "<i4").tobytes()
+        if len(self) >= self.remembered:
+            self.clear()
+        self[word] = out
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         if not _PLAIN.fullmatch(text) or "<|" in text:
             return np.array(self.tk.encode(text, add_special_tokens=False).ids, np.int32)
-        runs = _RUN.findall(text.lower())
-        new = [r for r in dict.fromkeys(runs) if r not in self.index]
-        if new:
-            if len(self.index) + len(new) > self.remembered:
-                self.clear()
-                new = list(dict.fromkeys(runs))
-            self.learn(new)
-        k = np.fromiter(map(self.index.__getitem__, runs), np.int64, len(runs))
-        size = self.size[k]
-        ends = np.cumsum(size)
-        if not len(ends):
-            return np.empty(0, np.int32)
-        return self.ids[np.repeat(self.start[k] - ends + size, size) + np.arange(ends[-1])]
+        return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), "<i4")
 
 
 class Packer:
@@ -91,7 +91,7 @@ class Packer:
     def __init__(self, limits: Limits, first_id: int):
         self.limits, self.caps, self.next_id = limits, limits.vector(), first_id
         self.pool: list[tuple] = []  # key, ids, start, total, loss flags or None
-        self.demand: list[tuple] = []
+        self.demand = np.empty((self.POOL + 2, 3))  # of the pool, row by row
         self.rows: list[tuple] = []
         self.open: list[tuple] = []
         self.left = self.caps.copy()
@@ -108,11 +108,11 @@ class Packer:
 
     def _wait(self, item: tuple) -> None:
         _, ids, start, _, loss = item
+        self.demand[len(self.pool)] = len(ids), 1, len(ids) if loss is None else loss[start : start + len(ids)].sum()
         self.pool.append(item)
-        self.demand.append((len(ids), 1, len(ids) if loss is None else int(loss[start : start + len(ids)].sum())))
 
     def _step(self) -> None:
-        d = np.array(self.demand, float)
+        d = self.demand[: len(self.pool)]
         fits = (d <= self.left).all(1)
         score = (d / self.caps) @ (self.left / self.caps)
         if fits.any():
@@ -123,8 +123,10 @@ class Packer:
             self._close()
 
     def _take(self, k: int, room: int | None) -> None:
-        key, ids, start, total, loss = self.pool.pop(k)
-        need = self.demand.pop(k)
+        need, (key, ids, start, total, loss) = self.demand[k].copy(), self.pool[k]
+        last = self.pool.pop()
+        if k < len(self.pool):
+            self.pool[k], self.demand[k] = last, self.demand[len(self.pool)]
         part = ids if room is None else ids[:room]
         used = need[2] if room is None else len(part) if loss is None else int(loss[start : start + len(part)].sum())
         self.open.append((key, part, 0, len(part), total, loss, start))
