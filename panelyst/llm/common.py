@@ -43,24 +43,27 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{scratch(spark)}/panelyst/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.made = spark, f"{scratch(spark)}/panelyst/{name}-{uuid.uuid4().hex}", {}
 
     def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{name}"
+        return f"{self.root}/{len(self.made) + 1:03d}-{name}"
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.made[path] = out
+        return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing will read any more."""
-        for df in frames:
-            for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-                if self.root.split("/panelyst/")[-1] in f:
-                    path = self.spark._jvm.org.apache.hadoop.fs.Path(f)
-                    path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for path in [p for p, t in self.made.items() if t is not None and any(t is f for f in frames)]:
+            self.made[path] = None
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        self.drop(*[t for t in self.made.values() if t is not None and not any(t is f for f in frames)])
 
 
 def release(spark: SparkSession) -> None:
@@ -87,6 +90,13 @@ def sample(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return rows.orderBy(h, key).limit(n)
 
 
+def slices(batches, rows: int = 500):
+    """The batches of a partition in smaller frames, so that what is made of one stays small."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
 def crc_bucket(n: int, col: str = "doc_id"):
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
@@ -105,38 +115,54 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, with a bounded memory."""
+def words(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8; bytes are split at exactly the blanks of the word definition."""
+    return text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
+
+
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTES = np.random.default_rng(31).integers(0, 2**64, 256, dtype=np.uint64)
 
-    def __init__(self, limit: int = 500_000):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a whole text, one after another, in linear time."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b"", np.uint8)
+    edge = np.diff(np.r_[True, _BLANK[b], True].view(np.int8))
+    start, stop = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+    up, down = _powers(8, len(b))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTES[b] * up[: len(b)], out=total[1:])
+    return mix((total[stop] - total[start]) * down[start])
 
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 17)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h
-        return h
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_BASES = {seed: np.uint64(int(np.random.default_rng(900 + seed).integers(1, 2**62)) * 4 + 1) for seed in range(1, 9)}
+_POWERS: dict = {}
+
+
+def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse modulo 2**64."""
+    if seed not in _POWERS or len(_POWERS[seed][0]) < n:
+        size = 1 << max(12, max(n - 1, 0).bit_length())
+        base = _BASES[seed]
+        inverse = np.uint64(pow(int(base), -1, 2**64))
+        _POWERS[seed] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (base, inverse))
+    return _POWERS[seed]
 
 
 def windows(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
-    """64-bit hashes of all k-word windows, from the hashes of the words."""
+    """64-bit hashes of all k-word windows, from the hashes of the words, in linear time."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j, m in enumerate(multipliers(k, seed)):
-        out += h[j : j + n] * m
-    return mix(out)
-
-
-@lru_cache(maxsize=64)
-def multipliers(k: int, seed: int) -> tuple:
-    rng = np.random.default_rng(1000 + seed)
-    return tuple(rng.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    up, down = _powers(seed, len(h))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    return mix((total[k:] - total[:n]) * down[:n])
+
+
+def least_in(g: np.ndarray, k: int) -> np.ndarray:
+    """The least of each k neighbours, by doubling."""
+    m, size = g, 1
+    while 2 * size <= k:
+        m, size = np.minimum(m[:-size], m[size:]), 2 * size
+    return m if size == k else np.minimum(m[: len(g) - k + 1], m[k - size :])

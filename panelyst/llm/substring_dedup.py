@@ -12,8 +12,6 @@ long and become the duplicate spans.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
@@ -23,61 +21,51 @@ from . import common as C
 
 WINDOW = 13
 ANCHOR = 5
-_WORD = re.compile(C.WORD)
-_HASHES = C.WordHashes()
 
 
-def segments(words: list[str], window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(text: str | None, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, first window and number of windows of each segment, and the word hashes."""
-    if len(words) < window:
+    h = C.word_hashes(text)
+    if len(h) < window:
         none = np.empty(0, np.int64)
-        return none, none, none, np.empty(0, np.uint64)
-    h = _HASHES.of(words)
-    g = C.windows(h, anchor, seed=2)
-    span = window - anchor + 1
-    n = len(words) - window + 1
-    best, at = g[:n].copy(), np.arange(n)
-    for j in range(1, span):  # leftmost least hash within each window
-        x = g[j : j + n]
-        less = x < best
-        best[less] = x[less]
-        at[less] = np.flatnonzero(less) + j
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return best[first].view(np.int64), first, np.diff(np.r_[first, n]), h
+        return none, none, none, h
+    least = C.least_in(C.windows(h, anchor, seed=2), window - anchor + 1)
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    return least[first].view(np.int64), first, np.diff(np.r_[first, len(least)]), h
 
 
 def _docs(docs: DataFrame) -> DataFrame:
-    """Rows by id and text hash: repeated ids with other texts stay apart."""
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("_t"))
+    """Rows by id and a small text hash, which keeps repeated ids with other texts apart."""
+    return docs.select("doc_id", "text", (F.xxhash64("text") % 32768).cast("smallint").alias("_t"))
 
 
 def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches):
-        for pdf in batches:
+        for pdf in C.slices(batches):
             out = [[], [], [], []]
             for d, t, text in zip(pdf["doc_id"], pdf["_t"], pdf["text"]):
-                a, first, _, _ = segments(_WORD.findall(text), window, anchor)
-                for col, x in zip(out, (a, first, np.full(len(a), d), np.full(len(a), t))):
+                a, first, _, _ = segments(text, window, anchor)
+                for col, x in zip(out, (a, first, np.full(len(a), d), np.full(len(a), t, np.int16))):
                     col.append(x)
             yield pd.DataFrame({c: np.concatenate(x) if x else np.empty(0, np.int64) for c, x in zip(("anchor", "first", "doc_id", "_t"), out)})
 
-    return docs.where("text is not null and doc_id is not null").mapInPandas(run, "anchor long, first int, doc_id long, _t long")
+    return docs.where("text is not null and doc_id is not null").mapInPandas(run, "anchor long, first int, doc_id long, _t smallint")
 
 
 def contents(marked: DataFrame, window: int, anchor: int) -> DataFrame:
     """The windows' hashes of the marked segments of each document, packed as 32-bit values."""
 
     def run(batches):
-        for pdf in batches:
+        for pdf in C.slices(batches):
             rows = []
             for d, t, text, firsts in zip(pdf["doc_id"], pdf["_t"], pdf["text"], pdf["firsts"]):
-                a, first, count, h = segments(_WORD.findall(text), window, anchor)
+                a, first, count, h = segments(text, window, anchor)
                 w = (C.windows(h, window, seed=3) >> np.uint64(32)).astype("<u4")
                 for k in np.flatnonzero(np.isin(first, firsts)):
                     rows.append((int(a[k]), w[first[k] : first[k] + count[k]].tobytes(), d, t, int(first[k])))
             yield pd.DataFrame(rows, columns=["anchor", "content", "doc_id", "_t", "first"])
 
-    return marked.mapInPandas(run, "anchor long, content binary, doc_id long, _t long, first int")
+    return marked.mapInPandas(run, "anchor long, content binary, doc_id long, _t smallint, first int")
 
 
 def parse(contents_by_block: DataFrame) -> DataFrame:
@@ -85,7 +73,7 @@ def parse(contents_by_block: DataFrame) -> DataFrame:
 
     def run(batches):
         block, doc, index, pending = None, None, {}, []
-        for pdf in batches:
+        for pdf in C.slices(batches):
             masks = []
             for a, content, lo in zip(pdf["anchor"], pdf["content"], pdf["lo"]):
                 if a != block:
@@ -127,7 +115,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     marks = tables.cut(found.join(shared, "anchor").groupBy(keys).agg(F.collect_set("first").alias("firsts")), "marks")
     C.release(spark)
-    parts = tables.cut(contents(base.join(marks, keys), window, anchor), "segments")
+    parts = tables.cut(contents(base.join(marks.hint("merge"), keys), window, anchor), "segments")
     C.release(spark)
     distinct = parts.groupBy("anchor", "content").agg(F.min("doc_id").alias("lo"))
     parsed = parse(distinct.repartition("anchor").sortWithinPartitions("anchor", "lo", "content"))
@@ -139,26 +127,28 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
         .groupBy(keys).agg(F.collect_list(F.struct("first", "n", "mask")).alias("found"))
     )
     spans = tables.cut(spans, "spans")
+    tables.keep_only(spans)
     C.release(spark)
 
     def run(batches):
-        for pdf in batches:
+        for pdf in C.slices(batches):
             out = []
             for d, text, marked in zip(pdf["doc_id"], pdf["text"], pdf["found"]):
-                words = _WORD.findall(text) if isinstance(text, str) else []
-                gone = np.zeros(len(words) + 1, np.int32)
-                for m in marked if marked is not None else ():
-                    hit = np.ones(m["n"], np.uint8) if m["mask"] is None else np.frombuffer(m["mask"], np.uint8)
-                    at = m["first"] + np.flatnonzero(hit)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
-                drop = np.cumsum(gone[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.r_[False, drop, False]))
-                out.append((d, " ".join(w for w, x in zip(words, drop.tolist()) if not x), len(words), int(drop.sum()), [{"start": int(a), "stop": int(b)} for a, b in edge.reshape(-1, 2)]))
+                words = C.words(text)
+                if marked is None:
+                    out.append((d, b" ".join(words).decode("utf-8", "surrogatepass"), len(words), 0, []))
+                    continue
+                starts = [m["first"] + (np.arange(m["n"]) if m["mask"] is None else np.flatnonzero(np.frombuffer(m["mask"], np.uint8))) for m in marked]
+                at = np.concatenate(starts)
+                gone = np.bincount(at[at < len(words)], minlength=len(words) + 1)
+                gone = np.cumsum(gone - np.r_[np.zeros(window, np.int64), gone[:-window]])[:-1] > 0
+                edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+                kept = b" ".join([w for w, x in zip(words, gone.tolist()) if not x])
+                out.append((d, kept.decode("utf-8", "surrogatepass"), len(words), int(gone.sum()), [{"start": int(a), "stop": int(b)} for a, b in edge.reshape(-1, 2)]))
             yield pd.DataFrame(out, columns=["doc_id", "kept_text", "n_words", "n_removed", "spans"])
 
     schema = C.extended(docs.select("doc_id"), "kept_text string, n_words long, n_removed long, spans array<struct<start:int,stop:int>>")
-    return base.join(spans, keys, "left").select("doc_id", "text", "found").mapInPandas(run, schema)
+    return base.join(spans.hint("merge"), keys, "left").select("doc_id", "text", "found").mapInPandas(run, schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
