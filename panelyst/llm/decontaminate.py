@@ -99,7 +99,7 @@ def match(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes:
         machine = spark.sparkContext.broadcast(build([(str(r[0]), r[1]) for r in part.collect()], window))
 
         def run(batches, machine=machine, first=k == 0, last=k == len(parts) - 1):
-            for pdf in batches:
+            for pdf in C.slices(batches):
                 hits, found, counts, where, total = [], [], [], [], []
                 for i, text in enumerate(pdf["text"]):
                     words = words_of(text)
@@ -133,7 +133,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read(spark, sf_dir, "documents").select("doc_id", "text")
     return match(docs, C.read(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), contaminated().alias("contaminated"), "spans",
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), contaminated().alias("contaminated"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, langid, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts
+from . import decontaminate, langid, line_dedup, minhash_dedup, oracles, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -20,4 +20,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_substring_dedup": oracles.OP2, "op5_quality_rules": oracles.OP5, "op7_decontaminate": oracles.OP7}
