@@ -56,6 +56,24 @@ def daily_stats(days: DataFrame, pnl: str = "gross", least: int = 10, days_per_y
     )
 
 
+def drawdown_series(days: DataFrame, pnl: str = "gross") -> DataFrame:
+    """Per signal and day: summed gain and how far it is below its height."""
+    w = W.partitionBy("signal").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    return days.withColumn("cum", F.sum(pnl).over(w)).withColumn("dd", F.max("cum").over(w) - F.col("cum"))
+
+
+def return_ratios(days: DataFrame, pnl: str = "gross", per_year: float = 252.0) -> DataFrame:
+    """Per signal: yearly sharpe ratio with the sample deviation, and summed gain over the deepest drawdown."""
+    agg = drawdown_series(days, pnl).groupBy("signal").agg(F.avg(pnl).alias("m"), F.stddev_samp(pnl).alias("s"), F.sum(pnl).alias("t"), F.max("dd").alias("dd"))
+    return agg.select("signal", (per_year**0.5 * ratio(F.col("m"), F.col("s"))).alias("ann_sr"), ratio(F.col("t"), F.col("dd")).alias("ret_dd"))
+
+
+def capped(position: Column, turnover: Column, share: float) -> Column:
+    """A position held within a share of the turnover."""
+    most = share * F.abs(turnover)
+    return F.greatest(-most, F.least(most, position))
+
+
 def bucket_response(df: DataFrame, x: str, y: str, buckets: int = 8) -> DataFrame:
     """Count, mean and spread of y per bucket of x between the quantiles i/(buckets+1) of all rows."""
     shares = [(i + 1) / (buckets + 1) for i in range(buckets)]

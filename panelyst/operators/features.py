@@ -77,6 +77,11 @@ def calendar_parts(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumns({"sigf_dayofweek": F.weekday(ts).cast("double"), "sigf_timeofday": F.pmod(micros, F.lit(86_400_000_000)) / 86_400_000_000 * 2})
 
 
+def date_parts(df: DataFrame, date: str) -> DataFrame:
+    """Weekday (Monday 0), month, day and ISO week, for seasonal models."""
+    return df.withColumns({"weekday": F.weekday(date), "month": F.month(date), "day": F.dayofmonth(date), "week": F.weekofyear(date)})
+
+
 def in_universe(df: DataFrame) -> DataFrame:
     return df.where(F.col("univ") > 0)
 

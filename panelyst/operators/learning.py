@@ -112,5 +112,14 @@ def cluster_codes(df: DataFrame, col: str, parts: list[dict], k: int, p: Panel =
     return out
 
 
+def silhouettes(vectors: DataFrame, counts: range = range(2, 11), seed: int = 42) -> list[tuple[int, float]]:
+    """Mean silhouette of k-means for each number of clusters, over a frame with ``features``."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    judge = ClusteringEvaluator(featuresCol="features")
+    return [(k, judge.evaluate(KMeans(k=k, seed=seed).fit(vectors).transform(vectors))) for k in counts]
+
+
 def mean_absolute_error(df: DataFrame, actual: str, predicted: str, by: list[str] = []) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(F.abs(number(actual) - number(predicted))).alias("mae"))

@@ -409,6 +409,39 @@ def backtest_stats(spark, d):
     return B.daily_stats(days).select("signal", "n", *r6("sr", "ann_pnl", "mdd", "rpt", "rog"))
 
 
+_DS = f"{_SG}, cu AS (SELECT *, sum(gross) OVER (PARTITION BY signal ORDER BY date) AS cum FROM dy), dq AS (SELECT *, max(cum) OVER (PARTITION BY signal ORDER BY date) - cum AS dd FROM cu)"
+
+
+@query("backtest_drawdown", f"WITH {_DS} SELECT signal, date, {s6(cum='cum', dd='dd')} FROM dq")
+def backtest_drawdown(spark, d):
+    days = B.daily_pnl(_signals(spark, d), ["sig_a", "sig_b"], "forward_dx_lag-1", EV)
+    return B.drawdown_series(days).select("signal", "date", *r6("cum", "dd"))
+
+
+@query("backtest_ratios", f"WITH {_DS} SELECT signal, {s6(ann_sr='sqrt(252) * avg(gross) / stddev_samp(gross)', ret_dd='sum(gross) / max(dd)')} FROM dq GROUP BY signal")
+def backtest_ratios(spark, d):
+    days = B.daily_pnl(_signals(spark, d), ["sig_a", "sig_b"], "forward_dx_lag-1", EV)
+    return B.return_ratios(days).select("signal", *r6("ann_sr", "ret_dd"))
+
+
+@query("backtest_capped", f"WITH {E_SQL} SELECT event_id, {s6(v='greatest(-0.1 * abs(y), least(0.1 * abs(y), x - 50))')} FROM e")
+def backtest_capped(spark, d):
+    return events(spark, d).select("event_id", B.capped(F.col("x") - 50, F.col("y"), 0.1).alias("v")).select("event_id", *r6("v"))
+
+
+@query("date_parts", "SELECT o_orderkey, isodow(o_orderdate) - 1 AS weekday, month(o_orderdate) AS month, day(o_orderdate) AS day, week(o_orderdate) AS week FROM orders")
+def date_parts(spark, d):
+    return X.date_parts(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate").select("o_orderkey", "weekday", "month", "day", "week")
+
+
+@query("silhouettes")
+def silhouettes(spark, d):
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = table(spark, d, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    return spark.createDataFrame(L.silhouettes(vectors, range(2, 5)), "k int, silhouette double")
+
+
 @query("backtest_impact", f"WITH {E_SQL} SELECT event_id, {s6(v='0.15 * y + 0.125 * x * sqrt(greatest(0, least(1, CASE WHEN x = 0 THEN 0 ELSE y / x END)))')} FROM e")
 def backtest_impact(spark, d):
     return events(spark, d).select("event_id", B.impact_bps(F.col("y"), F.col("x"), F.col("y"), F.col("x")).alias("v")).select("event_id", *r6("v"))
