@@ -21,18 +21,18 @@ from .components import components
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
-LEVELS = 3
-_HASHES = C.WordHashes()
+#: Bands after its own with which a band's bucket is made finer for members unlike its centre.
+NEXT = 3
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.r_[1.0, np.arange(1, 16)]))
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def shingles(text: str | None, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed shingles in order, and how often each occurs; a text of fewer words is one shingle."""
-    words = C.words(text)
-    if not words:
+    h = C.word_hashes(text)
+    if not len(h):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.unique(C.windows(_HASHES.of(words), min(k, len(words)), seed=4), return_counts=True)
+    return np.unique(C.windows(h, min(k, len(h)), seed=4), return_counts=True)
 
 
 def darts(x: np.ndarray, w: np.ndarray, until: float) -> tuple[np.ndarray, np.ndarray]:
@@ -74,13 +74,13 @@ def signature(x: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """``doc_id``, content digest, band keys and the signature (32-bit) of every document."""
+    """``doc_id``, content digest, band keys and the signature (16 bits a coordinate) of every document."""
     named = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
 
     def run(batches):
         number = C.mix(np.arange(bands, dtype=np.uint64))
         factor = C.mix(np.arange(rows, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)
-        for pdf in batches:
+        for pdf in C.slices(batches):
             keys, sig = [], []
             for text in pdf["text"]:
                 x, n = shingles(text)
@@ -90,16 +90,18 @@ def sketches(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFram
                     continue
                 s = signature(x, n.astype(float) if weighted else np.ones(len(x)), bands * rows)
                 keys.append(C.mix((s.reshape(bands, rows) * factor).sum(1) + number).view(np.int64))
-                sig.append((s >> np.uint64(32)).astype("<u4").tobytes())
+                sig.append((s >> np.uint64(48)).astype("<u2").tobytes())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": pdf["digest"], "keys": pd.Series(keys, pdf.index, dtype=object), "sig": pd.Series(sig, pdf.index, dtype=object)})
 
     return named.mapInPandas(run, C.extended(docs.select("doc_id"), "digest string, keys array<long>, sig binary"))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
+    """Each text's shingle set, hashed to 32 bits, ascending."""
+
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"rep": pdf["rep"], "s": [shingles(t)[0].astype("<u8").tobytes() for t in pdf["text"]]})
+        for pdf in C.slices(batches):
+            yield pd.DataFrame({"rep": pdf["rep"], "s": [np.unique(shingles(t)[0] >> np.uint64(32)).astype("<u4").tobytes() for t in pdf["text"]]})
 
     return docs.mapInPandas(run, "rep long, s binary")
 
@@ -110,22 +112,22 @@ def plausible(pairs: DataFrame, bands: int, rows: int, similarity: float) -> Dat
     least = max(1.0, k * (similarity - 5 * np.sqrt(similarity * (1 - similarity) / k)))
 
     def run(batches):
-        for pdf in batches:
+        for pdf in C.slices(batches):
             if len(pdf):
-                a, b = (np.frombuffer(b"".join(pdf[c]), "<u4").reshape(-1, k) for c in ("sig_a", "sig_b"))
+                a, b = (np.frombuffer(b"".join(pdf[c]), "<u2").reshape(-1, k) for c in ("sig_a", "sig_b"))
                 yield pdf.loc[(a == b).sum(1) >= least, ["a", "b"]]
 
     return pairs.mapInPandas(run, "a long, b long")
 
 
 def similar(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of which the shingle sets have the similarity, exactly."""
+    """Pairs of which the shingle sets have the similarity."""
 
     def run(batches):
-        for pdf in batches:
+        for pdf in C.slices(batches):
             keep = []
             for p, q in zip(pdf["sa"], pdf["sb"]):
-                p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
+                p, q = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
                 both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
                 keep.append(both >= similarity * (len(p) + len(q) - both))
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
@@ -139,8 +141,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     Documents of equal text are one class member from the start; texts without a
     word are in a class only with equal texts, null being empty. Within a bucket
     all are compared with the member that meets most others over all bands;
-    those not similar to it are dealt into finer buckets that share one more
-    band. Rows without an id are left out. Repeated rows give repeated rows.
+    those not similar to it are dealt into finer buckets, in which the next
+    bands agree too, and compared with the centres of those. Rows without an id are left out. Repeated rows give repeated rows.
     ``weighted`` lets repeated shingles count in the signatures.
     """
     spark, docs = docs.sparkSession, docs.select("doc_id", "text").where("doc_id is not null")
@@ -148,32 +150,36 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     table = tables.cut(sketches(docs, bands, rows, weighted), "sketches")
     owner = tables.cut(table.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig")).drop("digest"), "texts")
     keyed = owner.select("rep", F.explode("keys").alias("key"))
-    busy = keyed.groupBy("key").agg(F.count("rep").alias("n")).where("n > 1")
-    met = tables.cut(keyed.join(busy, "key"), "met")
-    shared = tables.cut(met.groupBy("rep").agg(F.sum("n").alias("pop"), F.collect_set("key").alias("keys")), "shared")
+    sizes = keyed.groupBy("key").agg(F.count("rep").alias("n"))
+    met = tables.cut(keyed.join(sizes, "key").groupBy("rep").agg(F.sum("n").alias("pop"), F.max("n").alias("most")), "met")
     C.release(spark)
-    texts = docs.join(shared.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+    busy = met.where("most > 1").select(F.col("rep").alias("doc_id")).hint("merge")  # the same plan at every size
+    texts = docs.join(busy, "doc_id").select(F.col("doc_id").alias("rep"), "text")
     sets = tables.cut(shingle_sets(texts).dropDuplicates(["rep"]), "sets")
     C.release(spark)
-    active = met.select("key", "rep").join(shared.select("rep", "pop"), "rep")
-    accepted = None
-    for level in range(LEVELS):
-        centers = active.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"))).alias("c"), F.count("rep").alias("n")).where("n > 1")
-        star = tables.cut(active.join(centers.select("key", (-F.col("c")["r"]).alias("center")), "key"), "stars")
-        pairs = star.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
-        sig = owner.select("rep", "sig")
+    sig = owner.select("rep", "sig")
+
+    def round_of(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their bucket's centre, and the accepted pairs among them."""
+        centers = members.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"))).alias("c")).select("key", (-F.col("c")["r"]).alias("center"))
+        star = tables.cut(members.join(centers, "key").where("rep <> center"), "stars")
+        pairs = star.select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
         pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
         pairs = tables.cut(plausible(pairs, bands, rows, similarity), "plausible")
         pairs = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
         good = tables.cut(similar(pairs, similarity), "links")
-        accepted = good if accepted is None else accepted.union(good)
-        if level + 1 < LEVELS:
-            failed = star.where("rep <> center").join(good.select(F.col("a").alias("rep"), F.col("b").alias("center")), ["rep", "center"], "left_anti")
-            finer = failed.select("key", "rep", "pop").join(shared.select("rep", "keys"), "rep").select("rep", "pop", "key", F.explode("keys").alias("other")).where("key <> other")
-            active = finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "rep", "pop").distinct()
         C.release(spark)
+        return star, good
+
+    star, good = round_of(keyed.join(met.select("rep", "pop"), "rep"))
+    unlike = star.join(good.select(F.col("a").alias("rep"), F.col("b").alias("center")), ["rep", "center"], "left_anti")
+    finer = unlike.select("rep", "pop", "key").join(owner.select("rep", "keys"), "rep")
+    after = lambda o: F.xxhash64("key", F.get("keys", ((F.array_position("keys", F.col("key")) - 1 + o) % bands).cast("int")))
+    _, more = round_of(finer.select("rep", "pop", F.explode(F.array(*[after(o) for o in range(1, NEXT + 1)])).alias("key")))
+    accepted = good.union(more)
     links = tables.cut(accepted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     roots = components(links, tables)
+    tables.keep_only(table, links, roots)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("node").alias("n_links"))
     named = owner_of(table).join(roots.join(degree, "node").withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
