@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 #: Labelled rows that the model is fitted on, at most.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 PASSAGE_WORDS = 60
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _HIDDEN, _GATE = 24, 12
 _KINDS = 12
 
@@ -96,7 +96,7 @@ def _forward(p: dict, x: np.ndarray, counts: np.ndarray) -> tuple:
 
 def fit(texts: list[str | None], y: np.ndarray, steps: int = 400, seed: int = 5) -> Model:
     """Full-batch Adam on the logistic loss of the documents' labels."""
-    x, counts = passages(texts)
+    x, counts = (np.concatenate(p) for p in zip(*[passages(texts[a:b]) for a, b in chunks(texts)]))
     mean, scale = x.mean(0), 1 / (x.std(0) + 0.02)
     x, rng = (x - mean) * scale, np.random.default_rng(seed)
     p = {"W": rng.normal(0, 0.08, (x.shape[1], _HIDDEN)), "b": np.zeros(_HIDDEN), "V": rng.normal(0, 0.3, (_HIDDEN, _GATE)), "U": rng.normal(0, 0.3, (_HIDDEN, _GATE)), "w": rng.normal(0, 0.3, _GATE), "o": rng.normal(0, 0.3, _HIDDEN), "c": np.zeros(1)}
@@ -119,16 +119,23 @@ def fit(texts: list[str | None], y: np.ndarray, steps: int = 400, seed: int = 5)
     return Model(mean, scale, p)
 
 
-def score(model: Model | None, texts: list[str | None]) -> np.ndarray:
-    out, at = np.full(len(texts), 0.5), 0
-    while at < len(texts) and model is not None:
+def chunks(texts: list[str | None]):
+    """Slices of the texts of about CHUNK characters, whole texts each."""
+    at = 0
+    while at < len(texts):
         stop, size = at, 0
         while stop < len(texts) and (stop == at or size + len(texts[stop] or "") < CHUNK):
             size += len(texts[stop] or "")
             stop += 1
-        x, counts = passages(texts[at:stop])
-        out[at:stop] = _forward(model.p, (x - model.mean) * model.scale, counts)[-1]
+        yield at, stop
         at = stop
+
+
+def score(model: Model | None, texts: list[str | None]) -> np.ndarray:
+    out = np.full(len(texts), 0.5)
+    for a, b in chunks(texts) if model is not None else ():
+        x, counts = passages(texts[a:b])
+        out[a:b] = _forward(model.p, (x - model.mean) * model.scale, counts)[-1]
     return out
 
 
@@ -154,7 +161,7 @@ def classify(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches):
-        for pdf in batches:
+        for pdf in C.slices(batches):
             s = score(shared.value, [t if isinstance(t, str) else None for t in pdf["text"]]).astype(float)
             yield pdf.assign(score=s, predicted=(s >= threshold).astype(np.int32))
 
