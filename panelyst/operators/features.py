@@ -286,7 +286,7 @@ def stream_numbers(df: DataFrame, p: Panel, name: str = "_no") -> DataFrame:
     sizes = df.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(F.col("_day").alias("_of"), (F.sum("_n").over(W.orderBy("_day")) - F.col("_n")).alias("_before"))  # one row a day
     dated = df.withColumn("_day", day).join(offsets, F.col("_day").eqNullSafe(F.col("_of"))).drop("_of")
-    return dated.withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy("_day").orderBy(p.ts, *p.tie)) - 1).drop("_day", "_before")
+    return dated.withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy("_day").orderBy(p.ts, *p.tie, p.key)) - 1).drop("_day", "_before")
 
 
 def moving_rank(df: DataFrame, cols: Names, window: int, p: Panel = PANEL) -> DataFrame:

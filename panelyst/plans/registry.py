@@ -531,3 +531,37 @@ bar_query("pipeline_forecast", lambda b: PL.naive_forecast(b, "close", BARS, 3,
 @query("pipeline_research")
 def pipeline_research(spark, d):
     return PL.research(bars(spark, d), BARS, 3).select("signal", "n", *r6("sr", "ann_pnl", "mdd", "rpt", "rog"))
+
+
+BAR_SQL = f"""{E_SQL}, bb AS (SELECT d, event_type, arg_max(x, (ts, event_id)) AS close, sum(y) AS volume, sum(x) AS taker, sum(x + y) AS total FROM e GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (ORDER BY d, event_type) AS event_id, event_type AS user_id, row_number() OVER (PARTITION BY event_type ORDER BY d) AS rn FROM bb)"""
+_BW = "OVER (PARTITION BY event_type ORDER BY d)"
+
+
+def ranked(name: str, src: str, col: str, window: int) -> str:
+    """CTE of the average rank among the last rows of the whole stream of bars, scaled to -1..1; missing values do not count."""
+    return f"""{name} AS (SELECT a.event_id, CASE WHEN count(w.{col}) = {window} AND a.{col} IS NOT NULL THEN 2 * (sum((w.{col} < a.{col})::INT) + (sum((w.{col} = a.{col})::INT) + 1) / 2.0 - 1) / {window - 1} - 1 END AS r
+  FROM {src} a JOIN {src} w ON w.event_id BETWEEN a.event_id - {window - 1} AND a.event_id GROUP BY a.event_id, a.{col})"""
+
+
+ORACLES["pipeline_forecast"] = f"WITH {BAR_SQL}, lg AS (SELECT *, lag(close, 3) {_BW} AS lc FROM b), {weighted('kf', 5, 'lc', 'lg')} SELECT d, event_type, {s6(pred='kf.m1')} FROM lg LEFT JOIN kf USING (event_id)"
+ORACLES["pipeline_gaps"] = f"""WITH {BAR_SQL}, g AS (SELECT *, max(close) OVER (PARTITION BY event_type ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mx, min(close) OVER (PARTITION BY event_type ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mn FROM b),
+g2 AS (SELECT *, lag(mx) {_BW} AS lx, lag(mn) {_BW} AS ln FROM g), {weighted('k4', 4, 'close', 'b')},
+g3 AS (SELECT g2.*, CASE WHEN close > lx + 0.5 * sqrt(greatest(k4.m2 - k4.m1 * k4.m1, 0)) THEN 1.0 WHEN close < ln - 0.5 * sqrt(greatest(k4.m2 - k4.m1 * k4.m1, 0)) THEN -1.0 ELSE 0.0 END AS gap FROM g2 JOIN k4 USING (event_id)),
+{weighted('kg', 4, 'gap', 'g3')} SELECT d, event_type, {s6(gap='gap', smooth='kg.m1')} FROM g3 JOIN kg USING (event_id)"""
+ORACLES["pipeline_turnover"] = f"""WITH {BAR_SQL}, t AS (SELECT *, close * volume AS tv FROM b), t2 AS (SELECT *, coalesce(ln(1 + tv) - lag(ln(1 + tv)) {_BW}, 0) AS df FROM t), t3 AS (SELECT *, df - avg(df) OVER (PARTITION BY d) AS dm FROM t2), t4 AS (SELECT *, sum(dm) {_BW} AS cs FROM t3),
+{weighted('a3', 3, 'cs', 't4')}, {weighted('a8', 8, 'cs', 't4')}, {weighted('b3', 3, 'tv', 't4')}, {weighted('b8', 8, 'tv', 't4')}
+SELECT d, event_type, {s6(v='a3.m1 - a8.m1', r=gd('b3.m1', 'b8.m1', 1.0) + ' - 1')} FROM t4 JOIN a3 USING (event_id) JOIN a8 USING (event_id) JOIN b3 USING (event_id) JOIN b8 USING (event_id)"""
+ORACLES["pipeline_taker_share"] = f"""WITH {BAR_SQL}, t AS (SELECT *, {gd('taker', 'total', 0.5)} - 0.5 AS tp FROM b), {weighted('k3', 3, 'tp', 't')}, m AS (SELECT event_id, k3.m1 AS v FROM k3), {ranked('rk', 'm', 'v', 20)}
+SELECT d, event_type, {s6(v='tp', rank='rk.r')} FROM t JOIN rk USING (event_id)"""
+ORACLES["pipeline_volatility"] = f"""WITH {BAR_SQL}, {weighted('k3', 3, 'close', 'b')}, {weighted('k8', 8, 'close', 'b')}, sd AS (SELECT event_id, CASE WHEN rn = 1 THEN 0 ELSE sqrt(greatest(k3.m2 - k3.m1 * k3.m1, 0)) END AS s3, CASE WHEN rn = 1 THEN 0 ELSE sqrt(greatest(k8.m2 - k8.m1 * k8.m1, 0)) END AS s8 FROM b JOIN k3 USING (event_id) JOIN k8 USING (event_id)),
+m AS (SELECT event_id, {gd('s3', 's8', 1.0)} - 1 AS v FROM sd), {ranked('rk', 'm', 'v', 20)} SELECT d, event_type, {s6(v='rk.r')} FROM b JOIN rk USING (event_id)"""
+
+ORACLES["ata"] = f"""WITH RECURSIVE {E_SQL}, f AS (SELECT event_id, user_id, rn, x AS s, CAST(0 AS DOUBLE) AS b FROM e WHERE rn = 1
+UNION ALL SELECT event_id, user_id, rn, n AS s, (n - s) / rn + (1 - 1.0 / rn) * b FROM (SELECT e.event_id, e.user_id, e.rn, f.s, f.b, least(1.0, 2.0 / e.rn) * e.x + (1 - least(1.0, 2.0 / e.rn)) * (f.s + f.b) AS n FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
+SELECT event_id, {s6(x_ata2x1='s + b')} FROM f"""
+ORACLES["point_figure"] = f"""WITH RECURSIVE {E_SQL}, q AS (SELECT event_id, user_id, rn, floor(x / 5.0) AS box FROM e),
+f AS (SELECT event_id, user_id, rn, box, CAST(1 AS DOUBLE) AS way, box AS top, box AS entry, CAST(0 AS DOUBLE) AS dur FROM q WHERE rn = 1
+UNION ALL SELECT q.event_id, q.user_id, q.rn, q.box, CASE WHEN f.way * (f.top - q.box) >= 3 THEN -f.way ELSE f.way END, CASE WHEN f.way * (f.top - q.box) >= 3 OR f.way * (q.box - f.top) > 0 THEN q.box ELSE f.top END,
+  CASE WHEN f.way * (f.top - q.box) >= 3 THEN f.top ELSE f.entry END, CASE WHEN f.way * (f.top - q.box) >= 3 THEN 0 ELSE f.dur + 1 END FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1)
+SELECT event_id, box AS px, way AS dir, entry AS el, way * (box - entry) + CAST(0 AS DOUBLE) AS perf, way * (top - entry) + CAST(0 AS DOUBLE) AS perf2, dur FROM f"""
