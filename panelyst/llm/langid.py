@@ -19,7 +19,7 @@ from . import common as C
 #: Rows the classifiers are fitted on, at most; a bounded sample of the labelled rows.
 SAMPLE_ROWS = 3000
 BUCKETS = 1 << 15
-CHUNK = 4_000_000
+CHUNK = 300_000
 
 
 @dataclass
@@ -142,7 +142,7 @@ def identify(docs: DataFrame, model: Model | None, margin: float = 0.2) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     def run(batches):
-        for pdf in batches:
+        for pdf in C.slices(batches):
             lang, score, vague = predict(shared.value, [t if isinstance(t, str) else None for t in pdf["text"]], margin)
             yield pdf.assign(lang_pred=pd.Series(lang, pdf.index, dtype=object), score=score, ambiguous=vague)
 
