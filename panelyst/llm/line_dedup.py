@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines become sets of character shingles. A signature takes the least hash of
-each of several parts of a line's shingles, which agrees for two lines with the
-probability of their Jaccard similarity. Bands of
+Lines become sets of character shingles. A signature takes the least and the
+greatest of several hashes of a line's shingles, each of which agrees for two
+lines with the probability of their Jaccard similarity. Bands of
 coordinates give candidate pairs, the exact Jaccard similarity of the shingle
 sets decides, and union-find joins the accepted pairs; of each component the
 first line of the corpus stays.
@@ -20,47 +20,51 @@ from .components import components
 #: Characters of a shingle, for the similarity and for the signature. The
 #: signature's are longer, so that few of them tell unrelated lines apart.
 SHINGLE, LONG = 8, 16
-BANDS, ROWS = 8, 2
+BANDS = 8
 #: Times that lines unlike the first of their bucket are dealt into finer buckets, plus one.
-LEVELS = 3
+LEVELS = 2
 SIMILARITY = 0.8
 
 
+BLANKS = " \t\x0b\x0c\r"
+
+
 def normal(line: Column) -> Column:
-    """Lines are compared in lower case, without blanks at their ends."""
-    return F.lower(F.trim(line, F.lit(" \t\x0b\x0c\r")))
+    """Lines are compared in lower case (their text is lowered before it is split), without blanks at their ends."""
+    return F.trim(line, F.lit(BLANKS))
 
 
 def line_id(norm: Column) -> Column:
-    return F.unhex(F.md5(norm))
+    """128-bit identity of a line. Candidates are found by its first half, of which an accidental repeat does no harm."""
+    return F.struct(F.xxhash64(norm).alias("h"), F.xxhash64(F.lit(77), norm).alias("g"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """Every line with a word: document, position, normal form and its 128-bit id."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return split.select("doc_id", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''").withColumn("line", line_id(F.col("norm")))
+    """Every line with a word: document, position and normal form."""
+    split = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    return split.select("doc_id", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''")
 
 
 #: Where the shingles of a signature start: at words, and at letters of scripts without blanks.
 STARTS = r"(?:^| |(?=[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF]))"
+#: First letters that shingles of a signature do not begin with: a half of all, chosen by content alone.
+PASSED = "bdfhjlnprtvxz"
 
 
-def signatures(found: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
     """The band keys of every distinct line.
 
-    The signature's shingles are those that start at words. Each is hashed once
-    and mixed once per band; the coordinates of a band share the mixed hashes
-    out among them and take the least of their part, so that a line of few
-    shingles still puts several of them into a key. Minima are aggregated where the lines are
-    read, so that repeated lines leave there as one row.
+    The signature's shingles start at words, but for some first letters; a line
+    has at least the one at its beginning. Each is hashed once and mixed once
+    per band; the least and the greatest mixed hash are a band's coordinates.
+    They are aggregated where the lines are read, so that repeated lines leave
+    there as one row.
     """
-    parts = F.regexp_extract_all("norm", F.lit(STARTS + rf"(?=([^ ].{{{shingle - 1}}}|(?<!.).*))"), F.lit(1))
-    each = found.select("line", F.explode(parts).alias("s")).select("line", F.xxhash64("s").alias("h"))
-    mixed = each.select("line", *[F.expr(f"xxhash64(h, {b})").alias(f"h{b}") for b in range(bands)])
-    mixed = mixed.select("line", *[F.expr(x) for b in range(bands) for x in (f"cast(h{b} >> 32 as int) as v{b}", f"pmod(h{b}, {rows}) as q{b}")])
-    minima = [F.min(F.expr(f"if(q{b} = {r}, v{b}, null)")).alias(f"m{b}_{r}") for b in range(bands) for r in range(rows)]
-    signed = mixed.groupBy("line").agg(*minima)
-    keys = [F.xxhash64(F.lit(b), *[F.coalesce(f"m{b}_{r}", F.lit(-1)) for r in range(rows)]) for b in range(bands)]
+    parts = F.regexp_extract_all("norm", F.lit(STARTS + rf"(?=([^ {PASSED}].{{{shingle - 1}}}|(?<!.).*))"), F.lit(1))
+    each = found.select(F.xxhash64("norm").alias("line"), F.explode(parts).alias("s")).select("line", F.xxhash64("s").alias("h"))
+    mixed = each.select("line", *[F.expr(f"cast(xxhash64(h, {b}) >> 32 as int)").alias(f"v{b}") for b in range(bands)])
+    signed = mixed.groupBy("line").agg(*[f(f"v{b}").alias(f"{f.__name__}{b}") for b in range(bands) for f in (F.min, F.max)])
+    keys = [F.xxhash64(F.lit(b), f"min{b}", f"max{b}") for b in range(bands)]
     return signed.select("line", F.explode(F.array(*keys)).alias("key"))
 
 
@@ -69,13 +73,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def shingle_set(shingle: int) -> Column:
+def shingle_set(norm: Column, shingle: int) -> Column:
     """All distinct character shingles, hashed; a shorter line is one shingle. In UTF-32 a shingle is a slice of bytes."""
-    at = f"sequence(0, greatest(char_length(norm) - {shingle}, 0))"
-    return F.expr(f"array_distinct(transform({at}, i -> xxhash64(substring(u, i * 4 + 1, {4 * shingle}))))")
+    at = F.sequence(F.lit(0), F.greatest(F.char_length(norm) - shingle, F.lit(0)))
+    hashed = lambda u: F.transform(at, lambda i: F.xxhash64(F.substring(u, i * 4 + 1, F.lit(4 * shingle))))
+    return F.array_distinct(F.transform(F.array(F.encode(norm, "UTF-32")), hashed)[0])
 
 
-def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, rows: int, similarity: float) -> DataFrame:
+def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similarity: float) -> DataFrame:
     """Accepted pairs of different lines, enough to connect the components.
 
     Within a bucket, all lines are compared with the bucket's least line, so a
@@ -84,23 +89,24 @@ def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, rows: in
     more band, and there meet another least line; similar lines share most of
     their bands.
     """
-    keyed = signatures(found, LONG, bands, rows)
+    keyed = signatures(found, LONG, bands)
     ties = W.partitionBy("key")
     spark = found.sparkSession
     active = keyed.withColumn("center", F.min("line").over(ties)).withColumn("n", F.count("line").over(ties)).where("n > 1").select("key", "line", "center")
     active = tables.cut(active, "buckets")
     C.release(spark)
     shared = active.groupBy("line").agg(F.collect_set("key").alias("keys"))
-    texts = found.join(shared.select("line"), "line").select("line", "norm").distinct().select("line", "norm", F.encode("norm", "UTF-32").alias("u"))
-    texts = tables.cut(texts.select("line", shingle_set(shingle).alias("s")), "sets")
+    texts = found.select(F.xxhash64("norm").alias("line"), "norm").join(shared.select("line").hint("merge"), "line").distinct()  # the same plan at every size
+    texts = tables.cut(texts, "texts")
     C.release(spark)
     accepted = None
     for level in range(LEVELS):
         pairs = active.where("line <> center").select("line", "center").distinct()
-        with_a = pairs.join(texts, "line").select("line", "center", F.col("s").alias("a"))
-        with_b = with_a.join(texts.select(F.col("line").alias("center"), F.col("s").alias("b")), "center")
-        tested = tables.cut(with_b.select("line", "center", (jaccard(F.col("a"), F.col("b")) >= similarity).alias("ok")), "pairs")
-        good = tested.where("ok").select(F.col("line").alias("a"), F.col("center").alias("b"))
+        with_a = pairs.join(texts.withColumnRenamed("norm", "na"), "line")
+        with_b = with_a.join(texts.select(F.col("line").alias("center"), F.col("norm").alias("nb")), "center")
+        sets = with_b.select("line", "center", line_id(F.col("na")).alias("a"), line_id(F.col("nb")).alias("b"), shingle_set(F.col("na"), shingle).alias("sa"), shingle_set(F.col("nb"), shingle).alias("sb"))
+        tested = tables.cut(sets.select("line", "center", "a", "b", (jaccard(F.col("sa"), F.col("sb")) >= similarity).alias("ok")), "pairs")
+        good = tested.where("ok").select("a", "b")
         accepted = good if accepted is None else accepted.union(good)
         if level + 1 < LEVELS:
             failed = active.join(tested.where("not ok").select("line", "center"), ["line", "center"]).select("key", "line").join(shared, "line")
@@ -111,16 +117,19 @@ def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, rows: in
     return accepted.distinct()
 
 
-def removals(docs: DataFrame, tables: C.Tables, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
+def removals(docs: DataFrame, tables: C.Tables, shingle: int = SHINGLE, bands: int = BANDS, similarity: float = SIMILARITY) -> DataFrame:
     """Positions of the lines that go, as one list per document."""
     found = lines(docs.select("doc_id", "text").where("doc_id is not null"))
-    edges = links(found, tables, shingle, bands, rows, similarity)
+    edges = links(found, tables, shingle, bands, similarity)
     roots = components(edges, tables)
-    at = found.select("doc_id", "pos", "line")
-    placed = at.join(roots.withColumnRenamed("node", "line"), "line", "left").select("doc_id", "pos", F.coalesce("root", "line").alias("root"))
-    firsts = placed.groupBy("root").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("pos").alias("n")).where("n > 1").select("root", "first")
-    gone = placed.join(firsts, "root").where("struct(doc_id, pos) <> first")
+    at = tables.cut(found.select("doc_id", "pos", line_id(F.col("norm")).alias("line")), "places")
+    each = at.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("pos").alias("n"))
+    each = each.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    heads = each.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("root", "first")
+    known = tables.cut(each.select("line", "root").join(heads, "root").select("line", "first"), "heads")
+    gone = at.join(known, "line").where("struct(doc_id, pos) <> first")
     out = tables.cut(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")), "gone")
+    tables.keep_only(out)
     C.release(docs.sparkSession)
     return out
 
@@ -136,9 +145,9 @@ def dedup(docs: DataFrame, **parameters) -> DataFrame:
     """
     tables = C.Tables(docs.sparkSession, "lines")
     gone = removals(docs, tables, **parameters)
-    rows = docs.drop("n_lines", "n_removed").join(gone.select("doc_id", F.col("gone").alias("_gone")), "doc_id", "left")
+    rows = docs.drop("n_lines", "n_removed").join(gone.select("doc_id", F.col("gone").alias("_gone")).hint("merge"), "doc_id", "left")
     parts = F.split("text", "\n")
-    counted = F.size(F.filter(parts, lambda s: s.rlike(C.WORD)))
+    counted = F.size(F.filter(parts, lambda s: normal(s) != ""))
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
     return rows.withColumns(
         {
