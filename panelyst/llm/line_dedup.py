@@ -17,8 +17,8 @@ from pyspark.sql import Window as W
 from . import common as C
 from .components import components
 
-#: Characters of a shingle, for the similarity and for the signature. The
-#: signature's are longer, so that few of them tell unrelated lines apart.
+#: Characters of a shingle for the similarity, and bytes of one for the signature,
+#: which are more, so that few of them tell unrelated lines apart.
 SHINGLE, LONG = 8, 16
 BANDS = 8
 #: Times that lines unlike the first of their bucket are dealt into finer buckets, plus one.
@@ -45,23 +45,22 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''")
 
 
-#: Where the shingles of a signature start: at words, and at letters of scripts without blanks.
-STARTS = r"(?:^| |(?=[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF]))"
-#: First letters that shingles of a signature do not begin with: a half of all, chosen by content alone.
-PASSED = "bdfhjlnprtvxz"
-
-
 def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
     """The band keys of every distinct line.
 
-    The signature's shingles start at words, but for some first letters; a line
-    has at least the one at its beginning. Each is hashed once and mixed once
-    per band; the least and the greatest mixed hash are a band's coordinates.
-    They are aggregated where the lines are read, so that repeated lines leave
-    there as one row.
+    The signature's shingles are slices of a line's bytes that start at words;
+    lines mostly of longer characters, from scripts without blanks, have every
+    character count as a word. Of the shingles but the first, a half stays,
+    chosen by the hash. Each is mixed once per band; the least and the greatest
+    mixed hash are a band's coordinates. They are aggregated where the lines are
+    read, so that repeated lines leave there as one row.
     """
-    parts = F.regexp_extract_all("norm", F.lit(STARTS + rf"(?=([^ {PASSED}].{{{shingle - 1}}}|(?<!.).*))"), F.lit(1))
-    each = found.select(F.xxhash64("norm").alias("line"), F.explode(parts).alias("s")).select("line", F.xxhash64("s").alias("h"))
+    wide = F.octet_length("norm") >= 2 * F.char_length("norm")
+    spaced = F.when(wide, F.regexp_replace("norm", "(.)", "$1 ")).otherwise(F.col("norm"))
+    cut = found.select(F.xxhash64("norm").alias("line"), spaced.cast("binary").alias("b"))
+    places = cut.select("line", "b", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("b") - shingle, F.lit(0)))).alias("i"))
+    starts = places.where("i = 0 or substring(b, i, 1) = X'20'")
+    each = starts.select("line", F.col("i"), F.expr(f"xxhash64(substring(b, i + 1, {shingle}))").alias("h")).where("i = 0 or (h & 1) = 0")
     mixed = each.select("line", *[F.expr(f"cast(xxhash64(h, {b}) >> 32 as int)").alias(f"v{b}") for b in range(bands)])
     signed = mixed.groupBy("line").agg(*[f(f"v{b}").alias(f"{f.__name__}{b}") for b in range(bands) for f in (F.min, F.max)])
     keys = [F.xxhash64(F.lit(b), f"min{b}", f"max{b}") for b in range(bands)]
