@@ -17,10 +17,10 @@ from pyspark.sql import Window as W
 from . import common as C
 from .components import components
 
-#: Characters of a shingle for the similarity, and bytes of one for the signature,
-#: which are more, so that few of them tell unrelated lines apart.
-SHINGLE, LONG = 8, 16
-BANDS = 8
+#: Characters of a shingle, for the similarity and for the signature.
+SHINGLE = 8
+#: Of four coordinates each: a pair just at the similarity shares none with a probability of 2e-4.
+BANDS = 16
 #: Times that lines unlike the first of their bucket are dealt into finer buckets, plus one.
 LEVELS = 2
 SIMILARITY = 0.8
@@ -48,22 +48,19 @@ def lines(docs: DataFrame) -> DataFrame:
 def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
     """The band keys of every distinct line.
 
-    The signature's shingles are slices of a line's bytes that start at words;
-    lines mostly of longer characters, from scripts without blanks, have every
-    character count as a word. Of the shingles but the first, a half stays,
-    chosen by the hash. Each is mixed once per band; the least and the greatest
-    mixed hash are a band's coordinates. They are aggregated where the lines are
-    read, so that repeated lines leave there as one row.
+    The signature sees all shingles that the exact similarity sees. Each is
+    mixed once per band; the least and the greatest of the upper and of the
+    lower half of the mixed hash are a band's four coordinates. They are
+    aggregated where the lines are read, so that repeated lines leave there as
+    one row.
     """
-    wide = F.octet_length("norm") >= 2 * F.char_length("norm")
-    spaced = F.when(wide, F.regexp_replace("norm", "(.)", "$1 ")).otherwise(F.col("norm"))
-    cut = found.select(F.xxhash64("norm").alias("line"), spaced.cast("binary").alias("b"))
-    places = cut.select("line", "b", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("b") - shingle, F.lit(0)))).alias("i"))
-    starts = places.where("i = 0 or substring(b, i, 1) = X'20'")
-    each = starts.select("line", F.col("i"), F.expr(f"xxhash64(substring(b, i + 1, {shingle}))").alias("h")).where("i = 0 or (h & 1) = 0")
-    mixed = each.select("line", *[F.expr(f"cast(xxhash64(h, {b}) >> 32 as int)").alias(f"v{b}") for b in range(bands)])
-    signed = mixed.groupBy("line").agg(*[f(f"v{b}").alias(f"{f.__name__}{b}") for b in range(bands) for f in (F.min, F.max)])
-    keys = [F.xxhash64(F.lit(b), f"min{b}", f"max{b}") for b in range(bands)]
+    cut = found.select(F.xxhash64("norm").alias("line"), F.encode("norm", "UTF-32").alias("u"))
+    places = cut.select("line", "u", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("u") / 4 - shingle, F.lit(0)).cast("int"))).alias("i"))
+    each = places.select("line", F.xxhash64(F.substring("u", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("h"))
+    mixed = each.select("line", *[F.xxhash64("h", F.lit(b)).alias(f"v{b}") for b in range(bands)])
+    halves = mixed.select("line", *[F.expr(e).alias(f"{n}{b}") for b in range(bands) for n, e in (("u", f"v{b} >> 32"), ("l", f"v{b} & 4294967295"))])
+    signed = halves.groupBy("line").agg(*[f(f"{n}{b}").alias(f"{f.__name__}_{n}{b}") for b in range(bands) for n in "ul" for f in (F.min, F.max)])
+    keys = [F.xxhash64(F.lit(b), *[f"{f}_{n}{b}" for n in "ul" for f in ("min", "max")]) for b in range(bands)]
     return signed.select("line", F.explode(F.array(*keys)).alias("key"))
 
 
@@ -88,7 +85,7 @@ def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similari
     more band, and there meet another least line; similar lines share most of
     their bands.
     """
-    keyed = signatures(found, LONG, bands)
+    keyed = signatures(found, shingle, bands)
     ties = W.partitionBy("key")
     spark = found.sparkSession
     active = keyed.withColumn("center", F.min("line").over(ties)).withColumn("n", F.count("line").over(ties)).where("n > 1").select("key", "line", "center")

@@ -61,6 +61,14 @@ def test_line_dedup(spark, docs, odd):
     assert line_dedup.dedup(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_short_lines_and_lines_without_blanks(spark):
+    path = "example.org/a/quite/long/path/to/some/page-"
+    pairs = [("share this page", "share this page!"), ("read more here", "read more here."), (f"http://{path}one", f"https://{path}one"), ("a\tb\tc\td\te\tf\tg\th\ti\tj\tk\tl", "a\tb\tc\td\te\tf\tg\th\ti\tj\tk\tm")]
+    rows = [(10 * k + j, line) for k, pair in enumerate(pairs) for j, line in enumerate(pair)]
+    have = got(line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")), "n_removed")
+    assert have == {d: (d % 10,) for d, _ in rows}
+
+
 # --- 2 -----------------------------------------------------------------------
 def test_substring_dedup(spark, docs, odd):
     assert got(run(spark, "op2_substring_dedup"), "n_words", "n_removed", "kept_sha256") == B.substring(docs)
