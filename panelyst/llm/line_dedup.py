@@ -15,15 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 
 from . import common as C
-from .components import components
+from .components import components, uncovered
 
 #: Characters of a shingle, for the similarity and for the signature.
 SHINGLE = 8
-#: Of four coordinates each: a pair just at the similarity shares none with a probability of 2e-4.
-BANDS = 16
-#: Times that lines unlike the first of their bucket are dealt into finer buckets, plus one.
-LEVELS = 2
+#: Hashes of a shingle, and bands for each of the SHIFTS.
+BANDS, SHIFTS = 8, (0, 1, 3)
 SIMILARITY = 0.8
+#: Shingles cut from one slice of a line, so that a long line is not carried along with each of its shingles.
+RUN = 64
 
 
 BLANKS = " \t\x0b\x0c\r"
@@ -49,18 +49,22 @@ def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
     """The band keys of every distinct line.
 
     The signature sees all shingles that the exact similarity sees. Each is
-    mixed once per band; the least and the greatest of the upper and of the
-    lower half of the mixed hash are a band's four coordinates. They are
-    aggregated where the lines are read, so that repeated lines leave there as
-    one row.
+    mixed several times; the least and the greatest of the upper and of the
+    lower half of each mixed hash are four coordinates. Bands take four each, of
+    one mixed hash or of neighbouring ones, so that every coordinate is in as
+    many bands as there are ``SHIFTS``. They are aggregated where the lines are
+    read, so that repeated lines leave there as one row.
     """
-    cut = found.select(F.xxhash64("norm").alias("line"), F.encode("norm", "UTF-32").alias("u"))
+    starts = lambda u: F.sequence(F.lit(0), F.greatest(F.octet_length(u) / 4 - shingle, F.lit(0)).cast("int"), F.lit(RUN))
+    runs = lambda u: F.transform(starts(u), lambda i: F.substring(u, i * 4 + 1, F.lit(4 * (RUN + shingle - 1))))
+    cut = found.select(F.xxhash64("norm").alias("line"), F.explode(F.transform(F.array(F.encode("norm", "UTF-32")), runs)[0]).alias("u"))
     places = cut.select("line", "u", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("u") / 4 - shingle, F.lit(0)).cast("int"))).alias("i"))
     each = places.select("line", F.xxhash64(F.substring("u", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("h"))
     mixed = each.select("line", *[F.xxhash64("h", F.lit(b)).alias(f"v{b}") for b in range(bands)])
     halves = mixed.select("line", *[F.expr(e).alias(f"{n}{b}") for b in range(bands) for n, e in (("u", f"v{b} >> 32"), ("l", f"v{b} & 4294967295"))])
     signed = halves.groupBy("line").agg(*[f(f"{n}{b}").alias(f"{f.__name__}_{n}{b}") for b in range(bands) for n in "ul" for f in (F.min, F.max)])
-    keys = [F.xxhash64(F.lit(b), *[f"{f}_{n}{b}" for n in "ul" for f in ("min", "max")]) for b in range(bands)]
+    kinds = [f"{f}_{n}" for n in "ul" for f in ("min", "max")]
+    keys = [F.xxhash64(F.lit(shift * bands + b), *[f"{kind}{(b + shift * k) % bands}" for k, kind in enumerate(kinds)]) for shift in SHIFTS for b in range(bands)]
     return signed.select("line", F.explode(F.array(*keys)).alias("key"))
 
 
@@ -77,40 +81,34 @@ def shingle_set(norm: Column, shingle: int) -> Column:
 
 
 def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similarity: float) -> DataFrame:
-    """Accepted pairs of different lines, enough to connect the components.
+    """Pairs of lines that connect the components of similar candidates.
 
-    Within a bucket, all lines are compared with the bucket's least line, so a
-    bucket costs rows in proportion to its size and never all its pairs. Lines
-    that are not similar to it go on to finer buckets, in which all share one
-    more band, and there meet another least line; similar lines share most of
-    their bands.
+    Within a bucket, all lines are first compared with the bucket's least line.
+    A bucket whose lines are then of one component is done, in rows in
+    proportion to its size; in the others, all pairs of lines from different
+    components are compared too.
     """
     keyed = signatures(found, shingle, bands)
     ties = W.partitionBy("key")
     spark = found.sparkSession
-    active = keyed.withColumn("center", F.min("line").over(ties)).withColumn("n", F.count("line").over(ties)).where("n > 1").select("key", "line", "center")
+    active = keyed.withColumn("center", F.min("line").over(ties)).withColumn("n", F.count("line").over(ties)).where("n > 1").select("key", F.col("line").alias("node"), "center")
     active = tables.cut(active, "buckets")
     C.release(spark)
-    shared = active.groupBy("line").agg(F.collect_set("key").alias("keys"))
-    texts = found.select(F.xxhash64("norm").alias("line"), "norm").join(shared.select("line").hint("merge"), "line").distinct()  # the same plan at every size
+    shared = active.select(F.col("node").alias("line")).distinct()
+    texts = found.select(F.xxhash64("norm").alias("line"), "norm").join(shared.hint("merge"), "line").distinct()  # the same plan at every size
     texts = tables.cut(texts, "texts")
     C.release(spark)
-    accepted = None
-    for level in range(LEVELS):
-        pairs = active.where("line <> center").select("line", "center").distinct()
-        with_a = pairs.join(texts.withColumnRenamed("norm", "na"), "line")
-        with_b = with_a.join(texts.select(F.col("line").alias("center"), F.col("norm").alias("nb")), "center")
-        sets = with_b.select("line", "center", line_id(F.col("na")).alias("a"), line_id(F.col("nb")).alias("b"), shingle_set(F.col("na"), shingle).alias("sa"), shingle_set(F.col("nb"), shingle).alias("sb"))
-        tested = tables.cut(sets.select("line", "center", "a", "b", (jaccard(F.col("sa"), F.col("sb")) >= similarity).alias("ok")), "pairs")
-        good = tested.where("ok").select("a", "b")
-        accepted = good if accepted is None else accepted.union(good)
-        if level + 1 < LEVELS:
-            failed = active.join(tested.where("not ok").select("line", "center"), ["line", "center"]).select("key", "line").join(shared, "line")
-            finer = failed.select("line", "key", F.explode("keys").alias("other")).where("key <> other")
-            finer = finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "line").distinct()
-            centers = finer.groupBy("key").agg(F.min("line").alias("center"), F.count("line").alias("n")).where("n > 1").select("key", "center")
-            active = tables.cut(finer.join(centers, "key"), "buckets")
-    return accepted.distinct()
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("na")), "a")
+        with_b = with_a.join(texts.select(F.col("line").alias("b"), F.col("norm").alias("nb")), "b")
+        sets = with_b.select(line_id(F.col("na")).alias("a"), line_id(F.col("nb")).alias("b"), shingle_set(F.col("na"), shingle).alias("sa"), shingle_set(F.col("nb"), shingle).alias("sb"))
+        return tables.cut(sets.where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"), "links")
+
+    roots = components(similar(active.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()), tables)
+    known = roots.select(F.col("node")["h"].alias("node"), F.col("root")["h"].alias("root"))
+    more = similar(uncovered(active, known, tables))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
 
 
 def removals(docs: DataFrame, tables: C.Tables, shingle: int = SHINGLE, bands: int = BANDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -69,6 +69,20 @@ def test_line_dedup_finds_short_lines_and_lines_without_blanks(spark):
     assert have == {d: (d % 10,) for d, _ in rows}
 
 
+def similar_in_one_bucket(n: int) -> list[tuple]:
+    """A template's pairs: alike within a pair, unlike between pairs though most of the text is shared."""
+    fixed = "https://site.example/shared/path/of/all/the/pages/"
+    return [(10 * k + j, f"{fixed}{k * 7919 % 100003:05d}-{k * 104729 % 999983:06d}-{k * 1299709 % 15485863:08d}{'' if j == 0 else 'x'}") for k in range(1, n + 1) for j in range(2)]
+
+
+def test_line_dedup_compares_all_of_a_bucket(spark):
+    rows = similar_in_one_bucket(150)
+    out = got(line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")), "n_lines", "n_removed", "text")
+    have = {d: (*v[:2], B.sha(v[2])) for d, v in out.items()}
+    assert have == B.line_dedup(rows)
+    assert sum(v[1] for v in have.values()) >= 150
+
+
 # --- 2 -----------------------------------------------------------------------
 def test_substring_dedup(spark, docs, odd):
     assert got(run(spark, "op2_substring_dedup"), "n_words", "n_removed", "kept_sha256") == B.substring(docs)
