@@ -16,13 +16,11 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from .components import components
+from .components import components, uncovered
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
-#: Bands after its own with which a band's bucket is made finer for members unlike its centre.
-NEXT = 3
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.r_[1.0, np.arange(1, 16)]))
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -140,9 +138,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
 
     Documents of equal text are one class member from the start; texts without a
     word are in a class only with equal texts, null being empty. Within a bucket
-    all are compared with the member that meets most others over all bands;
-    those not similar to it are dealt into finer buckets, in which the next
-    bands agree too, and compared with the centres of those. Rows without an id are left out. Repeated rows give repeated rows.
+    all are compared with the member that meets most others over all bands; where
+    the members are then of several components, all pairs between these are
+    compared too. Rows without an id are left out. Repeated rows give repeated rows.
     ``weighted`` lets repeated shingles count in the signatures.
     """
     spark, docs = docs.sparkSession, docs.select("doc_id", "text").where("doc_id is not null")
@@ -159,23 +157,20 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     C.release(spark)
     sig = owner.select("rep", "sig")
 
-    def round_of(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members with their bucket's centre, and the accepted pairs among them."""
-        centers = members.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"))).alias("c")).select("key", (-F.col("c")["r"]).alias("center"))
-        star = tables.cut(members.join(centers, "key").where("rep <> center"), "stars")
-        pairs = star.select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose shingle sets have the similarity."""
         pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
         pairs = tables.cut(plausible(pairs, bands, rows, similarity), "plausible")
         pairs = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
         good = tables.cut(similar(pairs, similarity), "links")
         C.release(spark)
-        return star, good
+        return good
 
-    star, good = round_of(keyed.join(met.select("rep", "pop"), "rep"))
-    unlike = star.join(good.select(F.col("a").alias("rep"), F.col("b").alias("center")), ["rep", "center"], "left_anti")
-    finer = unlike.select("rep", "pop", "key").join(owner.select("rep", "keys"), "rep")
-    after = lambda o: F.xxhash64("key", F.get("keys", ((F.array_position("keys", F.col("key")) - 1 + o) % bands).cast("int")))
-    _, more = round_of(finer.select("rep", "pop", F.explode(F.array(*[after(o) for o in range(1, NEXT + 1)])).alias("key")))
+    members = keyed.join(met.where("most > 1").select("rep", "pop"), "rep")
+    centers = members.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"))).alias("c"), F.count("rep").alias("n")).where("n > 1").select("key", (-F.col("c")["r"]).alias("center"))
+    star = tables.cut(members.join(centers, "key").select("key", F.col("rep").alias("node"), "center"), "stars")
+    good = alike(star.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct())
+    more = alike(uncovered(star, components(good, tables), tables))
     accepted = good.union(more)
     links = tables.cut(accepted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     roots = components(links, tables)

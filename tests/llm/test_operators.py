@@ -110,6 +110,16 @@ def test_minhash_dedup(spark, docs, odd):
     assert minhash_dedup.classes(odd.limit(0)).count() == 0
 
 
+def test_minhash_dedup_compares_all_of_a_bucket(spark):
+    """Documents of one template: pairs above the similarity, all others a little below."""
+    fixed, rows = [f"t{i}" for i in range(700)], []
+    for k in range(1, 121):
+        own = [f"d{k}x{i}" for i in range(100)]
+        rows += [(10 * k, " ".join(fixed + own)), (10 * k + 1, " ".join(fixed + own[:28] + [f"e{k}x{i}" for i in range(72)]))]
+    have = {d: v[0] for d, v in got(minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")), "class_id").items()}
+    assert have == B.near_classes(rows) and len(set(have.values())) == 120
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     import numpy as np
 
