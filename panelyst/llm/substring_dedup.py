@@ -53,14 +53,14 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def contents(marked: DataFrame, window: int, anchor: int) -> DataFrame:
-    """The windows' hashes of the marked segments of each document, packed as 32-bit values."""
+    """The windows' hashes of the marked segments of each document, packed as 64-bit values."""
 
     def run(batches):
         for pdf in C.slices(batches):
             rows = []
             for d, t, text, firsts in zip(pdf["doc_id"], pdf["_t"], pdf["text"], pdf["firsts"]):
                 a, first, count, h = segments(text, window, anchor)
-                w = (C.windows(h, window, seed=3) >> np.uint64(32)).astype("<u4")
+                w = C.windows(h, window, seed=3).astype("<u8")
                 for k in np.flatnonzero(np.isin(first, firsts)):
                     rows.append((int(a[k]), w[first[k] : first[k] + count[k]].tobytes(), d, t, int(first[k])))
             yield pd.DataFrame(rows, columns=["anchor", "content", "doc_id", "_t", "first"])
@@ -83,7 +83,7 @@ def parse(contents_by_block: DataFrame) -> DataFrame:
                         for o, x in enumerate(ref):
                             index.setdefault(x, (ref, o))
                     doc, pending = lo, []
-                w = np.frombuffer(content, "<u4").tolist()
+                w = np.frombuffer(content, "<u8").tolist()
                 mask, i = bytearray(len(w)), 0
                 while i < len(w):
                     if (found := index.get(w[i])) is None:
@@ -122,7 +122,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     # later documents have all of a segment from the first one; the first has what the parse found
     mask = F.when(F.col("doc_id") > F.col("lo"), F.lit(None).cast("binary")).otherwise(F.col("mask"))
     spans = (
-        parts.join(parsed, ["anchor", "content"]).select(*keys, "first", (F.length("content") / 4).cast("int").alias("n"), mask.alias("mask"))
+        parts.join(parsed, ["anchor", "content"]).select(*keys, "first", (F.length("content") / 8).cast("int").alias("n"), mask.alias("mask"))
         .where("mask is null or position('01', hex(mask)) > 0")
         .groupBy(keys).agg(F.collect_list(F.struct("first", "n", "mask")).alias("found"))
     )

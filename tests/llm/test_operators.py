@@ -101,6 +101,16 @@ def test_substring_dedup_of_shifted_and_interrupted_passages(spark):
         assert r.doc_id is None and r.n_removed == 0 or (r.n_words, r.n_removed, B.sha(r.kept_text)) == want[r.doc_id]
 
 
+def test_substring_windows_keep_64_bits(spark):
+    import numpy as np
+
+    a, first, count, h = substring_dedup.segments(PROSE)
+    marked = spark.createDataFrame([(1, 0, PROSE, first.tolist())], "doc_id long, _t smallint, text string, firsts array<int>")
+    have = {r["first"]: bytes(r["content"]) for r in substring_dedup.contents(marked, 13, 5).collect()}
+    w = C.windows(h, 13, seed=3).astype("<u8")
+    assert have == {int(f): w[f : f + n].tobytes() for f, n in zip(first, count)}
+
+
 # --- 3 -----------------------------------------------------------------------
 def test_minhash_dedup(spark, docs, odd):
     want = B.near_classes(docs)
