@@ -72,6 +72,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has yet (names are compared without regard to case)."""
+    used = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` with more fields behind it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -16,7 +16,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from .components import components, uncovered
+from .components import EPS, SLOTS, components, owed, rare
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -133,27 +133,72 @@ def similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long")
 
 
+def rarest(sets: DataFrame, similarity: float) -> DataFrame:
+    """The prefix tokens (key, node, n, r) of shingle sets (rep, s), rarest first.
+
+    Tokens are ordered by how often their class occurs in all the sets, then by
+    value. What is collected are the classes' counts, SLOTS numbers at most.
+    """
+    slot = lambda tokens: tokens % np.uint32(SLOTS)
+
+    def count(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for pdf in batches:
+            for s in pdf["s"]:
+                np.add.at(total, slot(np.frombuffer(s, "<u4")), 1)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": at.astype(np.int32), "n": total[at]})
+
+    counted = sets.select("s").mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(SLOTS, np.int64)
+    often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+
+    def run(batches):
+        for pdf in C.slices(batches):
+            keys, nodes, sizes, ranks = [], [], [], []
+            for node, s in zip(pdf["rep"], pdf["s"]):
+                tokens = np.frombuffer(s, "<u4")
+                n = len(tokens)
+                length = n - int(np.ceil(n * similarity - EPS)) + 1 if n else 0
+                keys.append(tokens[np.lexsort((tokens, often[slot(tokens)]))[:length]].astype(np.int64))
+                nodes.append(np.full(length, node, np.int64))
+                sizes.append(np.full(length, n, np.int32))
+                ranks.append(np.arange(1, length + 1, dtype=np.int32))
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "r": np.concatenate(ranks)})
+
+    return sets.mapInPandas(run, "key long, node long, n int, r int")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """``doc_id``, ``class_id`` (least id of the class) and ``n_links`` (accepted links of its text) per row.
 
     Documents of equal text are one class member from the start; texts without a
     word are in a class only with equal texts, null being empty. Within a bucket
-    all are compared with the member that meets most others over all bands; where
-    the members are then of several components, all pairs between these are
-    compared too. Rows without an id are left out. Repeated rows give repeated rows.
-    ``weighted`` lets repeated shingles count in the signatures.
+    all are compared with the member that meets most others over all bands. Where
+    the members are then of several components they owe each other a comparison:
+    small buckets pay in pairs, members of large ones are matched by their rarest
+    shingles, which finds every similar pair among them. Rows without an id are
+    left out. Repeated rows give repeated rows. Of one id's different texts only
+    the one of the least digest can be similar to others; the rest are in classes
+    with equal texts. ``weighted`` lets repeated shingles count in the signatures.
     """
     spark, docs = docs.sparkSession, docs.select("doc_id", "text").where("doc_id is not null")
     tables = C.Tables(spark, "minhash")
     table = tables.cut(sketches(docs, bands, rows, weighted), "sketches")
-    owner = tables.cut(table.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig")).drop("digest"), "texts")
+    texts = tables.cut(table.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "texts")
+    several = texts.groupBy("rep").agg(F.min("digest").alias("least"), F.count("digest").alias("n"))
+    several = tables.cut(several.where("n > 1").select("rep", "least"), "several")  # ids of more than one text
+    owner = texts.join(several, "rep", "left").where("least is null or least = digest").drop("least")
+    C.release(spark)
     keyed = owner.select("rep", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("rep").alias("n"))
     met = tables.cut(keyed.join(sizes, "key").groupBy("rep").agg(F.sum("n").alias("pop"), F.max("n").alias("most")), "met")
     C.release(spark)
-    busy = met.where("most > 1").select(F.col("rep").alias("doc_id")).hint("merge")  # the same plan at every size
-    texts = docs.join(busy, "doc_id").select(F.col("doc_id").alias("rep"), "text")
-    sets = tables.cut(shingle_sets(texts).dropDuplicates(["rep"]), "sets")
+    busy = met.where("most > 1").select("rep").hint("merge")  # the same plan at every size
+    named = docs.withColumnRenamed("doc_id", "rep").join(busy, "rep").join(several, "rep", "left")
+    named = named.where(F.col("least").isNull() | (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("least"))).select("rep", "text")
+    sets = tables.cut(shingle_sets(named).dropDuplicates(["rep"]), "sets")
     C.release(spark)
     sig = owner.select("rep", "sig")
 
@@ -169,19 +214,27 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     members = keyed.join(met.where("most > 1").select("rep", "pop"), "rep")
     centers = members.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"))).alias("c"), F.count("rep").alias("n")).where("n > 1").select("key", (-F.col("c")["r"]).alias("center"))
     star = tables.cut(members.join(centers, "key").select("key", F.col("rep").alias("node"), "center"), "stars")
-    good = alike(star.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct())
-    more = alike(uncovered(star, components(good, tables), tables))
-    accepted = good.union(more)
+    accepted = alike(star.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct())
+    known = tables.cut(components(accepted, tables), "roots")
+    pairs, crowd = owed(star, known, tables)
+    accepted = accepted.union(alike(pairs))
+    crowd = tables.cut(crowd, "crowd")
+    if not crowd.isEmpty():
+        tokens = tables.cut(rarest(sets.join(crowd.withColumnRenamed("node", "rep"), "rep"), similarity), "tokens")
+        C.release(spark)
+        accepted = accepted.union(alike(rare(tokens, known, similarity)))
     links = tables.cut(accepted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    roots = components(links, tables)
-    tables.keep_only(table, links, roots)
+    roots = tables.cut(components(links, tables), "roots")
+    stands = tables.cut(owner.select("rep", "digest"), "stands")
+    tables.keep_only(table, links, roots, stands)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("node").alias("n_links"))
-    named = owner_of(table).join(roots.join(degree, "node").withColumnRenamed("node", "rep"), "rep", "left")
+    joined = roots.join(degree, "node").withColumnRenamed("node", "rep").join(stands, "rep")
+    named = owner_of(table).join(joined, ["rep", "digest"], "left")
     return named.select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def owner_of(table: DataFrame) -> DataFrame:
-    """Every row's id and the least id that has its text."""
+    """Every row's id, its text's digest and the least id that has its text."""
     return table.select("doc_id", "digest").join(table.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest")
 
 
