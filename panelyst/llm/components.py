@@ -107,21 +107,3 @@ def ranked(sets: DataFrame, similarity: float) -> DataFrame:
     counts = each.groupBy("slot").agg(F.count("key").alias("often"))
     order = W.partitionBy("node").orderBy("often", "key")
     return each.join(F.broadcast(counts), "slot").withColumn("r", F.row_number().over(order)).where(F.col("r") <= prefix_length(F.col("n"), similarity)).select("key", "node", "n", "r")
-
-
-def uncovered(members: DataFrame, roots: DataFrame, tables: Tables) -> DataFrame:
-    """Pairs (a, b) that buckets still owe after their members (key, node, center) met their centre.
-
-    ``roots`` has the component of the nodes linked so far (node, root; long).
-    Two members are owed a comparison unless they are of one component or one is
-    the centre of the bucket. Buckets of one component cost no more rows; in the
-    others, members outside the largest component are paired with all of other components.
-    """
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = rooted.groupBy("key", "root").agg(F.count("node").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("root").alias("k")).where("k > 1").select("key", F.col("m")["root"].alias("main"))
-    open_ = tables.cut(rooted.where("node <> center").join(main, "key"), "open")
-    side = open_.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    other = open_.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), "main")
-    owed = side.join(other, "key").where("ra <> rb and (rb = main or a < b)")
-    return owed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

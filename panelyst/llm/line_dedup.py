@@ -10,12 +10,14 @@ first line of the corpus stays.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 
 from . import common as C
-from .components import components, uncovered
+from .components import components, owed, ranked, rare
 
 #: Characters of a shingle, for the similarity and for the signature.
 SHINGLE = 8
@@ -40,13 +42,13 @@ def line_id(norm: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """Every line with a word: document, position and normal form."""
-    split = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
-    return split.select("doc_id", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''")
+    """Every line with a word: document, digest of its text, position and normal form."""
+    split = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    return split.select("doc_id", "t", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''")
 
 
 def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
-    """The band keys of every distinct line.
+    """The band keys of every distinct line, and a sketch: a byte of each coordinate, eight to a long.
 
     The signature sees all shingles that the exact similarity sees. Each is
     mixed several times; the least and the greatest of the upper and of the
@@ -65,12 +67,27 @@ def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
     signed = halves.groupBy("line").agg(*[f(f"{n}{b}").alias(f"{f.__name__}_{n}{b}") for b in range(bands) for n in "ul" for f in (F.min, F.max)])
     kinds = [f"{f}_{n}" for n in "ul" for f in ("min", "max")]
     keys = [F.xxhash64(F.lit(shift * bands + b), *[f"{kind}{(b + shift * k) % bands}" for k, kind in enumerate(kinds)]) for shift in SHIFTS for b in range(bands)]
-    return signed.select("line", F.explode(F.array(*keys)).alias("key"))
+    places = [f"{kind}{b}" for b in range(bands) for kind in kinds]
+    sketch = [reduce(Column.bitwiseOR, [F.shiftleft(F.xxhash64(c).bitwiseAND(255), 8 * k) for k, c in enumerate(places[at : at + 8])]) for at in range(0, len(places), 8)]
+    return signed.select("line", F.array(*keys).alias("keys"), *[s.alias(f"s{i}") for i, s in enumerate(sketch)])
+
+
+def agreements(a: list[Column], b: list[Column]) -> Column:
+    """In how many of their bytes two sketches agree."""
+    total = F.lit(0)
+    for p, q in zip(a, b):
+        x = p.bitwiseXOR(q)
+        for by in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        total = total + 8 - F.bit_count(x.bitwiseAND(0x0101010101010101))
+    return total
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether the Jaccard similarity of two sets, given as arrays of distinct values, is reached; each is built once."""
+    counts = lambda s: F.struct((F.size(s["a"]) + F.size(s["b"])).alias("n"), F.size(F.array_intersect(s["a"], s["b"])).alias("k"))
+    counted = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), counts)
+    return F.exists(counted, lambda c: c["k"] / (c["n"] - c["k"]) >= similarity)
 
 
 def shingle_set(norm: Column, shingle: int) -> Column:
@@ -80,49 +97,77 @@ def shingle_set(norm: Column, shingle: int) -> Column:
     return F.array_distinct(F.transform(F.array(F.encode(norm, "UTF-32")), hashed)[0])
 
 
+def buckets(signed: DataFrame, tables: C.Tables, bands: int) -> DataFrame:
+    """Lines (node) that share a band key with others, and the least line (center) of each key.
+
+    The bands are dealt out in two turns, so that only half of their rows are between tasks at a time.
+    """
+    ties, turns = W.partitionBy("key"), []
+    for at in (0, 1):
+        keyed = signed.select(F.col("line").alias("node"), F.explode(F.slice("keys", at * len(SHIFTS) * bands // 2 + 1, (1 + at) * len(SHIFTS) * bands // 2 - at * len(SHIFTS) * bands // 2)).alias("key"))
+        found = keyed.withColumn("center", F.min("node").over(ties)).withColumn("n", F.count("node").over(ties)).where("n > 1")
+        turns.append(tables.cut(found.select("key", "node", "center"), "buckets"))
+        C.release(signed.sparkSession)
+    return turns[0].union(turns[1])
+
+
 def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similarity: float) -> DataFrame:
     """Pairs of lines that connect the components of similar candidates.
 
     Within a bucket, all lines are first compared with the bucket's least line.
     A bucket whose lines are then of one component is done, in rows in
-    proportion to its size; in the others, all pairs of lines from different
-    components are compared too.
+    proportion to its size. The lines of the others owe each other a comparison:
+    small buckets pay in pairs, lines of large ones are matched by their rarest
+    shingles, which finds every similar pair among them. Pairs whose sketches rule
+    the similarity out (five standard errors) are not compared exactly.
     """
-    keyed = signatures(found, shingle, bands)
-    ties = W.partitionBy("key")
     spark = found.sparkSession
-    active = keyed.withColumn("center", F.min("line").over(ties)).withColumn("n", F.count("line").over(ties)).where("n > 1").select("key", F.col("line").alias("node"), "center")
-    active = tables.cut(active, "buckets")
+    signed = tables.cut(signatures(found, shingle, bands), "signatures")
+    C.release(spark)
+    active = buckets(signed, tables, bands)
+    sketch = [c for c in signed.columns if c[0] == "s"]
+    shared = tables.cut(signed.select("line", *sketch).join(active.select(F.col("node").alias("line")).distinct(), "line"), "shared")
+    tables.drop(signed)
     C.release(spark)
-    shared = active.select(F.col("node").alias("line")).distinct()
     texts = found.select(F.xxhash64("norm").alias("line"), "norm").join(shared.hint("merge"), "line").distinct()  # the same plan at every size
     texts = tables.cut(texts, "texts")
+    tables.drop(shared)
     C.release(spark)
+    k = 4 * bands
+    least = k * (similarity - 5 * (similarity * (1 - similarity) / k) ** 0.5)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("na")), "a")
-        with_b = with_a.join(texts.select(F.col("line").alias("b"), F.col("norm").alias("nb")), "b")
-        sets = with_b.select(line_id(F.col("na")).alias("a"), line_id(F.col("nb")).alias("b"), shingle_set(F.col("na"), shingle).alias("sa"), shingle_set(F.col("nb"), shingle).alias("sb"))
-        return tables.cut(sets.where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"), "links")
+        for x in "ab":
+            pairs = pairs.join(texts.select(F.col("line").alias(x), F.col("norm").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in sketch]), x)
+        near = pairs.where(agreements(*[[F.col(f"{c}{x}") for c in sketch] for x in "ab"]) >= least)
+        good = near.where(alike(shingle_set(F.col("na"), shingle), shingle_set(F.col("nb"), shingle), similarity))
+        return tables.cut(good.select(line_id(F.col("na")).alias("a"), line_id(F.col("nb")).alias("b")), "links")
 
-    roots = components(similar(active.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()), tables)
+    roots = tables.cut(components(similar(active.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()), tables), "roots")
     known = roots.select(F.col("node")["h"].alias("node"), F.col("root")["h"].alias("root"))
-    more = similar(uncovered(active, known, tables))
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+    pairs, crowd = owed(active, known, tables)
+    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(pairs))
+    crowd = tables.cut(crowd, "crowd")
+    if not crowd.isEmpty():
+        sets = texts.join(crowd.withColumnRenamed("node", "line"), "line").select(F.col("line").alias("node"), shingle_set(F.col("norm"), shingle).alias("s"))
+        tokens = tables.cut(ranked(sets, similarity), "tokens")
+        edges = edges.union(similar(rare(tokens, known, similarity)))
+    C.release(spark)
+    return edges
 
 
 def removals(docs: DataFrame, tables: C.Tables, shingle: int = SHINGLE, bands: int = BANDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Positions of the lines that go, as one list per document."""
+    """Positions (gone) of the lines that go, as one list per document: per id and digest of its text (t)."""
     found = lines(docs.select("doc_id", "text").where("doc_id is not null"))
     edges = links(found, tables, shingle, bands, similarity)
     roots = components(edges, tables)
-    at = tables.cut(found.select("doc_id", "pos", line_id(F.col("norm")).alias("line")), "places")
-    each = at.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("pos").alias("n"))
+    at = tables.cut(found.select("doc_id", "t", "pos", line_id(F.col("norm")).alias("line")), "places")
+    each = at.groupBy("line").agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"), F.count("pos").alias("n"))
     each = each.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     heads = each.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("root", "first")
     known = tables.cut(each.select("line", "root").join(heads, "root").select("line", "first"), "heads")
-    gone = at.join(known, "line").where("struct(doc_id, pos) <> first")
-    out = tables.cut(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")), "gone")
+    gone = at.join(known, "line").where("struct(doc_id, t, pos) <> first")
+    out = tables.cut(gone.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("gone")), "gone")
     tables.keep_only(out)
     C.release(docs.sparkSession)
     return out
@@ -133,23 +178,27 @@ def dedup(docs: DataFrame, **parameters) -> DataFrame:
 
     Lines without a word stay and are not counted. Of equal or similar lines
     anywhere in the corpus the one of the least document id stays, the first in
-    it. Null texts stay null; rows without an id are left alone. Rows of one
-    id are read as one document: a position that goes, goes in each of them.
-    Other columns pass through; existing ones of the two new names are replaced.
+    it. Null texts stay null; rows without an id are left alone. Repeated rows are
+    one document and lose the same lines; of one id's different texts, the one of
+    the least digest comes first. Other columns pass through; existing ones of
+    the two new names are replaced.
     """
     tables = C.Tables(docs.sparkSession, "lines")
     gone = removals(docs, tables, **parameters)
-    rows = docs.drop("n_lines", "n_removed").join(gone.select("doc_id", F.col("gone").alias("_gone")).hint("merge"), "doc_id", "left")
+    rest = docs.drop("n_lines", "n_removed")
+    at, t, i = (C.free(n, rest) for n in ("gone", "t", "i"))
+    names = gone.select(F.col("doc_id").alias(i), F.col("t").alias(t), F.col("gone").alias(at)).hint("merge")
+    rows = rest.join(names, (F.col("doc_id") == F.col(i)) & (F.xxhash64("text") == F.col(t)), "left")
     parts = F.split("text", "\n")
     counted = F.size(F.filter(parts, lambda s: normal(s) != ""))
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    kept = F.array_join(F.filter(parts, lambda _, k: ~F.array_contains(at, k)), "\n")
     return rows.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(counted).cast("long"),
-            "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept),
+            "n_removed": F.coalesce(F.size(at), F.lit(0)).cast("long"),
+            "text": F.when(F.col(at).isNull(), F.col("text")).otherwise(kept),
         }
-    ).drop("_gone").select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    ).select(*rest.columns, "n_lines", "n_removed")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
