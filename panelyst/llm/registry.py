@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, langid, line_dedup, minhash_dedup, oracles, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_langid": langid.op9_langid,
     "op10_secrets": secrets.op10_secrets,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {"op2_substring_dedup": oracles.OP2, "op5_quality_rules": oracles.OP5, "op7_decontaminate": oracles.OP7}
