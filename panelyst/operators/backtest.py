@@ -1,4 +1,4 @@
-"""Gain and cost of signals, their statistics, bucketed responses and signal selection."""
+"""Gain and cost of signals, their statistics and signal selection."""
 
 from __future__ import annotations
 
@@ -74,33 +74,56 @@ def capped(position: Column, turnover: Column, share: float) -> Column:
     return F.greatest(-most, F.least(most, position))
 
 
-def bucket_response(df: DataFrame, x: str, y: str, buckets: int = 8) -> DataFrame:
-    """Count, mean and spread of y per bucket of x between the quantiles i/(buckets+1) of all rows."""
-    shares = [(i + 1) / (buckets + 1) for i in range(buckets)]
-    edges = df.agg(F.percentile_approx(number(x), shares, 10_000)).first()[0] or []
-    place = sum(((number(x) > e).cast("int") for e in edges), F.lit(0))
-    out = df.where(number(x).isNotNull() & number(y).isNotNull()).groupBy(place.alias("bucket")).agg(F.count(F.lit(1)).alias("cnt"), F.avg(number(y)).alias("mean"), F.coalesce(F.stddev_pop(number(y)), F.lit(0.0)).alias("std"))
-    return out.withColumns({"stderr": F.col("std") / F.sqrt("cnt"), "var_stderr": F.col("std") * F.col("std") / F.sqrt("cnt")})
+#: Bounds of the selection rules: sharpe ratio, drawdown and gain per trade in percent and basis points, holding time in rows, least number of times.
+RULES = {"sharpe": 3.0, "drawdown": 5.0, "per_trade": 2.0, "holding": 7200.0, "least": 100}
 
 
-def select_best(df: DataFrame, signals: list[str], forward: str, halflife: float, p: Panel = PANEL, wgt: str | None = None, least_sharpe: float = 1.0, by_day: bool = True) -> DataFrame:
-    """Add ``sig_kbest``: the mean of the signals that did well so far, turned around where they did badly.
+def signal_scores(df: DataFrame, signals: list[str], ret: str, halflife: float, p: Panel = PANEL, wgt: str = "wgt", rules: dict = {}) -> DataFrame:
+    """Per signal and time: what it gained so far, by weighted means over times, and the choice (``sel``: 1, -1 or 0) that the rules make.
 
-    Each signal's gains are summed per day; the weighted mean in units of its
-    deviation, scaled to a year, decides on +1, -1 or 0, which holds from the
-    next day on.
+    A position is the signal of an instrument's row before, times the weight,
+    missing signals being 0; so the choice at a time uses what is known then.
+    An instrument's first trade does not count. Drawdowns are below the height
+    (``dd``) and above the depth (``ddn``, for a signal to be turned around) of the
+    summed gain, in percent of the mean gross value; ``rpt`` is the gain per
+    trade in basis points, ``hold`` gross over traded value.
     """
-    days = daily_pnl(df, signals, forward, p, wgt, by_day=by_day)
-    q = Panel("date", "signal")
-    x = number("gross")
-    score = ratio(E.ewm(x, halflife, q), E.ewm_std(x, halflife, q)) * 365**0.5
-    scored = days.withColumn("_sr", score)
-    chosen = scored.withColumn("_pick", F.when(F.col("_sr") >= least_sharpe, 1).when(F.col("_sr") <= -least_sharpe, -1).otherwise(0))
-    after = chosen.withColumn("pick", F.coalesce(F.lag("_pick").over(q.rows()), F.lit(0))).select("signal", "date", "pick")
-    wide = after.groupBy("date").pivot("signal", signals).agg(F.max("pick"))
-    wide = wide.select("date", *[F.col(s).alias(f"_pick_{s}") for s in signals])
-    when = F.to_date(p.ts) if by_day else F.col(p.ts)
-    out = df.withColumn("_d", when).join(wide.withColumnRenamed("date", "_d"), "_d", "left").drop("_d")
-    used = sum((F.abs(F.col(f"_pick_{s}")) for s in signals), F.lit(0))
-    total = sum((F.coalesce(number(s), F.lit(0.0)) * F.col(f"_pick_{s}") for s in signals), F.lit(0.0))
-    return out.withColumn("sig_kbest", F.when(used > 0, total / used).otherwise(0.0)).drop(*[f"_pick_{s}" for s in signals])
+    rules = RULES | rules
+    rows = long_signals(df, signals, [p.ts, p.key, *p.tie, ret, wgt])
+    w = W.partitionBy("signal", p.key).orderBy(p.ts, *p.tie)
+    rows = rows.withColumn("_s", F.coalesce(F.lag(number("pos")).over(w), F.lit(0.0)) * number(wgt))
+    rows = rows.withColumn("_t", F.abs(F.col("_s") - F.lag("_s").over(w)))
+    times = rows.groupBy("signal", p.ts).agg(F.sum(F.abs("_s")).alias("_gross"), F.sum(F.col("_s") * number(ret)).alias("_pnl"), F.coalesce(F.sum("_t"), F.lit(0.0)).alias("_trd"))
+    q = Panel(p.ts, "signal")
+    mean = {k: E.ewm(F.col(f"_{k}"), halflife, q) for k in ("gross", "pnl", "trd")}
+    micros = F.unix_micros(F.col(p.ts).cast("timestamp")) if dict(df.dtypes)[p.ts] not in ("bigint", "int") else F.col(p.ts)
+    new = {"cnt": F.row_number().over(q.rows()), "_cum": F.sum("_pnl").over(q.so_far()), "_gap": micros - F.lag(micros).over(q.rows()), "_std": E.ewm_std(F.col("_pnl"), halflife, q)}
+    scored = times.withColumns(new | {f"_{k}_ewm": v for k, v in mean.items()})
+    scored = scored.withColumns({"_top": F.max("_cum").over(q.so_far()), "_low": F.min("_cum").over(q.so_far()), "_unit": F.percentile("_gap", 0.5).over(W.partitionBy("signal"))})
+    scale = F.sqrt(86_400e6 * 365 / F.col("_unit"))
+    out = scored.select(
+        "signal", p.ts, "cnt", (scale * ratio(F.col("_pnl_ewm"), F.col("_std"))).alias("sr"), F.coalesce(1e4 * ratio(F.col("_pnl_ewm"), F.col("_trd_ewm")), F.lit(0.0)).alias("rpt"),
+        F.coalesce(ratio(F.col("_gross_ewm"), F.col("_trd_ewm")), F.lit(0.0)).alias("hold"), (100 * ratio(F.col("_top") - F.col("_cum"), F.col("_gross_ewm"))).alias("dd"),
+        (100 * ratio(F.col("_cum") - F.col("_low"), F.col("_gross_ewm"))).alias("ddn"),
+    )
+    both = (F.col("hold") < rules["holding"]) & (F.col("cnt") > rules["least"])
+    long = both & (F.col("sr") > rules["sharpe"]) & (F.col("dd") < rules["drawdown"]) & (F.col("rpt") > rules["per_trade"])
+    short = both & (F.col("sr") < -rules["sharpe"]) & (F.col("ddn") < rules["drawdown"]) & (F.col("rpt") < -rules["per_trade"])
+    return out.withColumn("sel", F.when(long, 1).when(short, -1).otherwise(0))
+
+
+def select_best(df: DataFrame, signals: list[str], ret: str, halflife: float, p: Panel = PANEL, wgt: str = "wgt", rules: dict = {}) -> DataFrame:
+    """Add ``sig_kbest``: the mean of the signals that the rules choose at each time, turned around where they say so; 0 without any."""
+    scores = signal_scores(df, signals, ret, halflife, p, wgt, rules)
+    wide = scores.groupBy(p.ts).pivot("signal", signals).agg(F.max("sel"))
+    picks = [f"_pick{i}" for i in range(len(signals))]
+    out = df.join(wide.select(p.ts, *[F.col(f"`{s}`").alias(k) for s, k in zip(signals, picks)]), p.ts, "left")
+    total = sum((F.coalesce(number(s), F.lit(0.0)) * F.col(k) for s, k in zip(signals, picks)), F.lit(0.0))
+    used = sum((F.abs(F.col(k)) for k in picks), F.lit(0))
+    return out.withColumn("sig_kbest", F.when(used > 0, total / used).otherwise(0.0)).drop(*picks)
+
+
+def selection_stats(scores: DataFrame) -> DataFrame:
+    """Per signal, the means of choices and scores; the most chosen come first in ``rank``."""
+    means = scores.groupBy("signal").agg(F.avg(F.abs("sel")).alias("abs_sel"), *[F.avg(c).alias(c) for c in ("sel", "sr", "rpt", "dd", "ddn", "hold")])
+    return means.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.abs("sel")), "signal")))  # one row a signal

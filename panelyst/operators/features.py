@@ -6,12 +6,14 @@ over the same window of an instrument shares one exchange and one sort.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 
 from ..functions import cross, ewm as E, rolling as R
-from ..panel import Panel, clip, number, ratio
+from ..panel import Panel, clip, number, ratio, settled
 
 PANEL = Panel()
 Names = list[str]
@@ -310,34 +312,110 @@ def moving_rank(df: DataFrame, cols: Names, window: int, p: Panel = PANEL) -> Da
     return seen.where("_own").withColumns({f"{c}_appops{window}": scaled(c) for c in cols}).drop("_no", "_b", "_own", *[f"_l_{c}" for c in cols])
 
 
-def quantile_global(df: DataFrame, cols: Names, shares: list[float], p: Panel = PANEL, bins: int = 2048) -> DataFrame:
-    """Quantiles of all rows of earlier days, over all instruments, null on the first day.
+#: Rows of the stream after which quantiles are taken anew: five days of minutes.
+PERIOD = 7200
+#: Ranges of values that the exact quantiles are worked out in.
+BINS = 1000
 
-    Values are counted by day in equal bins; sums over the days give each day's
-    distribution, and a quantile is the upper edge of its bin. What is gathered
-    per day is at most one row a bin.
+
+def emitted(df: DataFrame, p: Panel, period: int) -> DataFrame:
+    """Number the rows of the stream (``_no``, from 0) and the emission that holds at each (``_b``): that after its first ``_b * period`` rows."""
+    return stream_numbers(df, p).withColumn("_b", F.floor((F.col("_no") + 1) / period).cast("long"))
+
+
+def _ranges(numbered: DataFrame, cols: Names, bins: int) -> dict[str, list[float]]:
+    """Edges that cut each column into ranges of about as many rows; they only deal out the work."""
+    shares = [i / bins for i in range(1, bins)]
+    found = numbered.agg(*[F.percentile_approx(number(c), shares, 10 * bins).alias(f"_e{i}") for i, c in enumerate(cols)]).first()
+    return {c: [-float("inf"), *sorted({e for e in found[i] or [] if e not in (-float("inf"), float("inf"))}), float("inf")] for i, c in enumerate(cols)}
+
+
+def _picked(key: tuple, members: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    """Of one range: the value of each wanted rank among the values that came before an emission."""
+    members, out = members.sort_values("_x"), np.full(len(wanted), np.nan)
+    x, since, n = (members[c].to_numpy() for c in ("_x", "_k", "_n"))
+    for b, at in wanted.reset_index(drop=True).groupby("_b").groups.items():
+        out[at] = x[np.searchsorted(np.cumsum(np.where(since <= b, n, 0)), wanted["_r"].to_numpy()[at], side="right")]
+    return wanted.assign(_v=out * wanted["_w"])[["_b", "_q", "_v"]]
+
+
+def expanding_quantiles(numbered: DataFrame, col: str, shares: list[float], period: int, edges: list[float]) -> DataFrame:
+    """``_b`` and ``_q0``.. : exact quantiles, between two values by proportion, of the first ``_b * period`` rows of the stream.
+
+    Counts by emission and range of values say in which range a quantile lies
+    and which rank it has there; then each range is handled apart, its equal
+    values of one period as one row. No row later than an emission has a part in it.
     """
-    out = df.withColumn("_day", F.to_date(p.ts))
-    every = out.select("_day").where("_day is not null").distinct().select("_day", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("_bin"))
+    from pyspark.ml.feature import Bucketizer
+
+    x = numbered.select((F.floor(F.col("_no") / period) + 1).cast("long").alias("_k"), number(col).alias("_x")).where("_x is not null")
+    placed = Bucketizer(splits=edges, inputCol="_x", outputCol="_bin").transform(x)
+    members = placed.groupBy("_bin", "_k", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    emissions = numbered.select("_b").where("_b > 0").distinct()
+    counts = members.groupBy("_bin", "_k").agg(F.sum("_n").alias("_n"))
+    grid = emissions.crossJoin(counts.select("_bin").distinct())  # emissions are a period apart, ranges a fixed number
+    upto = W.partitionBy("_bin").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+    each = grid.join(counts.withColumnRenamed("_k", "_b"), ["_b", "_bin"], "left").withColumn("_n", F.sum(F.coalesce("_n", F.lit(0))).over(upto))
+    by = W.partitionBy("_b")
+    each = each.withColumns({"_all": F.sum("_n").over(by), "_before": F.sum("_n").over(by.orderBy("_bin")) - F.col("_n")}).where("_n > 0")
+    ranks = []
+    for i, q in enumerate(shares):
+        at = F.lit(float(q)) * (F.col("_all") - 1)
+        low = F.floor(at + 1e-12)
+        rest = F.greatest(at - low, F.lit(0.0))
+        ranks += [F.struct(F.lit(i).alias("_q"), low.cast("long").alias("_r"), (1 - rest).alias("_w")), F.struct(F.lit(i).alias("_q"), F.least(low + 1, F.col("_all") - 1).cast("long").alias("_r"), rest.alias("_w"))]
+    wanted = each.withColumn("_s", F.explode(F.array(*ranks))).select("_bin", "_b", "_before", "_n", "_s.*").where("_w > 0 and _r >= _before and _r < _before + _n")
+    wanted = wanted.select(F.col("_bin").alias("_in"), "_b", "_q", (F.col("_r") - F.col("_before")).alias("_r"), "_w")
+    found = wanted.groupBy("_in").cogroup(members.groupBy("_bin")).applyInPandas(lambda key, w, m: _picked(key, m, w), "_b long, _q int, _v double")
+    return found.groupBy("_b").agg(*[F.sum(F.when(F.col("_q") == i, F.col("_v"))).alias(f"_q{i}") for i in range(len(shares))])
+
+
+def quantile_global(df: DataFrame, cols: Names, shares: list[float], p: Panel = PANEL, period: int = PERIOD, bins: int = BINS) -> DataFrame:
+    """Quantiles of the stream so far, over all instruments, taken anew after each ``period`` rows; null before the first time."""
+    numbered = settled(emitted(df, p, period))
+    edges = _ranges(numbered, cols, bins)
+    out = numbered
     for c in cols:
-        low, high = df.agg(F.min(number(c)), F.max(number(c))).first()
-        low, step = (low or 0.0), ((high or 0.0) - (low or 0.0)) / bins or 1.0
-        place = F.least(F.lit(bins - 1), F.floor((number(c) - low) / step)).cast("int")
-        counts = out.where(number(c).isNotNull()).groupBy("_day", place.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
-        before = W.partitionBy("_bin").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-        upto = every.join(counts, ["_day", "_bin"], "left").withColumn("_n", F.sum(F.coalesce("_n", F.lit(0))).over(before))
-        day = W.partitionBy("_day")
-        share = upto.withColumn("_share", F.sum("_n").over(day.orderBy("_bin")) / F.nullif(F.sum("_n").over(day), F.lit(0)))
-        picked = share.groupBy("_day").agg(*[F.min(F.when(F.col("_share") >= q, low + (F.col("_bin") + 1) * step)).alias(f"{c}_qtl{q:.2f}") for q in shares])
-        out = out.join(picked.withColumnRenamed("_day", "_d"), F.col("_day") == F.col("_d"), "left").drop("_d")
-    return out.drop("_day")
-
-
-def winsorize_global(df: DataFrame, cols: Names, low: float, high: float, p: Panel = PANEL) -> DataFrame:
-    """Values held within the quantiles of the days before; unchanged on the first day."""
-    out = quantile_global(df, cols, [low, high], p)
+        found = expanding_quantiles(numbered, c, shares, period, edges[c])
+        out = out.join(found.select(F.col("_b").alias("_at"), *[F.col(f"_q{i}").alias(f"{c}_qtl{q:.2f}") for i, q in enumerate(shares)]), F.col("_b") == F.col("_at"), "left").drop("_at")
+    return out.drop("_no", "_b")
+
+
+def winsorize_global(df: DataFrame, cols: Names, low: float, high: float, p: Panel = PANEL, period: int = PERIOD) -> DataFrame:
+    """Values held within the quantiles of the stream so far; unchanged where there are none yet."""
+    out = quantile_global(df, cols, [low, high], p, period)
     for c in cols:
         a, b, x = F.col(f"`{c}_qtl{low:.2f}`"), F.col(f"`{c}_qtl{high:.2f}`"), number(c)
         out = out.withColumns({f"{c}_qtllow": a, f"{c}_qtlhigh": b, f"{c}_clipqtl": F.when(x < a, a).when(x > b, b).otherwise(x)})
         out = out.drop(*{f"{c}_qtl{low:.2f}", f"{c}_qtl{high:.2f}"})
     return out
+
+
+def bucket_response(df: DataFrame, x: str, y: str, buckets: int = 8, p: Panel = PANEL, period: int = PERIOD, block: int = 1 << 16) -> DataFrame:
+    """Running mean of y per bucket of x, and its variance over the root of the count, as arrays ``{x}_{y}_bucketxy_mean`` and ``_std``.
+
+    The buckets lie between the quantiles i / (buckets + 1) of x so far; the last
+    one is open. A row counts from itself on, in the bucket of that time. Rows
+    without x, y or quantiles give null arrays where they don't count, and buckets
+    without rows null items. Running sums go by blocks of the stream; a block
+    starts from the totals of those before it.
+    """
+    shares = [(i + 1) / (buckets + 1) for i in range(buckets)]
+    numbered = settled(emitted(df, p, period))
+    found = expanding_quantiles(numbered, x, shares, period, _ranges(numbered, [x], BINS)[x])
+    out = numbered.join(found.withColumnRenamed("_b", "_at"), F.col("_b") == F.col("_at"), "left").drop("_at", "_b")
+    a, b = number(x), number(y)
+    counts = a.isNotNull() & b.isNotNull() & F.col("_q0").isNotNull()
+    place = sum(((a >= F.col(f"_q{i}")).cast("int") for i in range(buckets - 1)), F.lit(0))
+    out = out.withColumns({"_j": F.when(counts, place), "_y": b, "_blk": F.floor(F.col("_no") / block)}).drop(*[f"_q{i}" for i in range(buckets)])
+    parts = {f"_{k}{j}": F.when(F.col("_j") == j, v) for j in range(buckets) for k, v in (("c", F.lit(1.0)), ("s", F.col("_y")), ("t", F.col("_y") * F.col("_y")))}
+    totals = out.groupBy("_blk").agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(k) for k, v in parts.items()])
+    before = W.orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)  # one row a block
+    start = totals.select(F.col("_blk").alias("_of"), *[F.coalesce(F.sum(k).over(before), F.lit(0.0)).alias(f"{k}_0") for k in parts])
+    inside = W.partitionBy("_blk").orderBy("_no").rowsBetween(W.unboundedPreceding, 0)
+    run = out.join(start, F.col("_blk") == F.col("_of")).withColumns({k: F.col(f"{k}_0") + F.coalesce(F.sum(v).over(inside), F.lit(0.0)) for k, v in parts.items()})
+    n, s, t = (lambda j, k=k: F.col(f"_{k}{j}") for k in "cst")
+    mean = F.array(*[F.when(n(j) > 0, s(j) / n(j)) for j in range(buckets)])
+    spread = F.array(*[F.when(n(j) > 0, (t(j) / n(j) - (s(j) / n(j)) * (s(j) / n(j))) / F.sqrt(n(j))) for j in range(buckets)])
+    shown = a.isNotNull() & b.isNotNull()
+    return run.withColumns({f"{x}_{y}_bucketxy_mean": F.when(shown, mean), f"{x}_{y}_bucketxy_std": F.when(shown, spread)}).select(*df.columns, f"{x}_{y}_bucketxy_mean", f"{x}_{y}_bucketxy_std")

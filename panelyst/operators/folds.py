@@ -33,6 +33,12 @@ def _values(pdf: pd.DataFrame, col: str) -> np.ndarray:
     return pdf[col].to_numpy(float, na_value=np.nan)
 
 
+def _times(pdf: pd.DataFrame, p: Panel) -> np.ndarray:
+    """Times as whole numbers: microseconds of timestamps and dates."""
+    t = pdf[p.ts]
+    return t.to_numpy(np.int64) if t.dtype.kind in "iu" else t.to_numpy("datetime64[us]").astype(np.int64)
+
+
 def cusum(df: DataFrame, col: str, target: float, slack: float = 0.5, bound: float = 5.0, p: Panel = PANEL) -> DataFrame:
     """Upper cumulative sum that restarts, giving 0, when it passes the bound; ``_alarm`` is 1 there."""
 
@@ -61,9 +67,7 @@ def holt_winters(df: DataFrame, col: str, grid: list[tuple[float, float, float,
     names = [f"{col}_{a}x{b}x{g}x{m}_{int(seasonal)}" for a, b, g, m in grid]
 
     def one(pdf):
-        t = pdf[p.ts]
-        micros = t.to_numpy(np.int64) if t.dtype.kind in "iu" else t.to_numpy("datetime64[us]").astype(np.int64)
-        slots, values, results = micros // int(unit), _values(pdf, col), []
+        slots, values, results = _times(pdf, p) // int(unit), _values(pdf, col), []
         for a, b, g, m in grid:
             a, b, g = decay(a), decay(b), decay(g)
             level = trend = None
@@ -73,12 +77,11 @@ def holt_winters(df: DataFrame, col: str, grid: list[tuple[float, float, float,
                     out.append(None)
                     continue
                 s = season.get(slot, 1.0) if seasonal else 1.0
-                if level is None:
+                if level is None:  # the recursion begins at the first value
                     level, trend = x, 0.0
-                else:
-                    new = a * x / s + (1 - a) * (level + trend)
-                    trend = b * (new - level) + (1 - b) * trend
-                    level = new
+                new = a * x / s + (1 - a) * (level + trend)
+                trend = b * (new - level) + (1 - b) * trend
+                level = new
                 if seasonal:
                     season[slot] = min(20.0, max(0.05, g * x / level + (1 - g) * s)) if level else s
                 out.append((level + trend) * (season[slot] if seasonal else 1.0))
@@ -114,30 +117,49 @@ def ata(df: DataFrame, col: str, level: int = 1, trend: int = 1, ahead: int = 1,
     return _fold(df, p, [f"{col}_ata{level}x{trend}"], one)
 
 
-def point_figure(df: DataFrame, col: str, tick: float, reverse: int, p: Panel = PANEL) -> DataFrame:
-    """Point-and-figure: boxes of size ``tick``; the direction turns when the price retraces ``reverse`` boxes.
+def holt_level(df: DataFrame, col: str, level: float, trend: float, p: Panel = PANEL) -> DataFrame:
+    """Level plus trend, both smoothed with the given factors (0 to 1); missing rows give null and change nothing."""
+
+    def one(pdf):
+        s = b = None
+        out = []
+        for x in _values(pdf, col):
+            if math.isnan(x):
+                out.append(None)
+                continue
+            before, s = s, x if s is None else level * x + (1 - level) * (s + b)
+            b = 0.0 if before is None else trend * (s - before) + (1 - trend) * b
+            out.append(s + b)
+        return [out]
+
+    return _fold(df, p, [f"{col}_holt{level}x{trend}"], one)
 
-    Columns ``_px`` (box), ``_dir``, ``_el`` (box of the last turn), ``_perf``
-    (boxes gained since the turn, in the direction), ``_perf2`` (to the extreme)
-    and ``_dur`` (rows since the turn).
+
+def point_figure(df: DataFrame, col: str, tick: float, reverse: int, p: Panel = PANEL) -> DataFrame:
+    """Point-and-figure: prices in whole boxes of ``tick``; the direction turns when the price retraces ``reverse`` boxes.
+
+    ``_px`` and ``_el`` are the price and the price at the last turn (at first,
+    the first one), both rounded down to a box; ``_dir`` is 1 or -1, ``_perf`` the
+    relative change since the turn (0 from a price of 0) and ``_perf2`` the
+    change in boxes. ``_dur`` is the time since the turn: in microseconds for
+    timestamps and dates, else in the unit of the time column. Missing prices
+    give nulls and change nothing.
     """
     stem = f"{col}_pfp{tick}x{reverse}"
 
     def one(pdf):
-        rows, way, top, entry, since = [], 1.0, None, None, 0
-        for x in _values(pdf, col):
+        rows, way, extreme, entry, since = [], 1.0, None, None, 0
+        for t, x in zip(_times(pdf, p), _values(pdf, col)):
             if math.isnan(x):
                 rows.append((None,) * 6)
                 continue
-            box = math.floor(x / tick)
-            if top is None:
-                top = entry = box
-            if way * (top - box) >= reverse:
-                way, top, entry, since = -way, box, top, 0
-            elif way * (box - top) > 0:
-                top = box
-            rows.append((float(box), way, float(entry), way * (box - entry), way * (top - entry), float(since)))
-            since += 1
+            box = float(x // tick)
+            if entry is None:
+                extreme, entry, since = box, box, t
+            extreme = max(extreme, box) if way > 0 else min(extreme, box)
+            if way * (extreme - box) >= reverse:
+                way, extreme, entry, since = -way, box, box, t
+            rows.append((box * tick, way, entry * tick, box / entry - 1 if entry else 0.0, box - entry, float(t - since)))
         return [list(c) for c in zip(*rows)]
 
     return _fold(df, p, [f"{stem}_{s}" for s in ("px", "dir", "el", "perf", "perf2", "dur")], one)

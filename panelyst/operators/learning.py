@@ -37,6 +37,27 @@ def time_splits(df: DataFrame, p: Panel, lookback: int, every: int, gap: int = 1
     return splits(lo, hi, unit, lookback, every, gap, least) if unit else []
 
 
+def calendar_splits(days: list[dt.date], every: int = 250, least: int = 400, most: int = 600, gap: int = 1) -> list[dict]:
+    """Splits over a list of days: train ends move by ``every`` days, a train range has ``most`` days at most.
+
+    Tests begin ``gap`` days of the list after the train end; the last test
+    reaches 50 business days beyond the list, for days yet to come. Up to
+    ``least`` days give one split at seven tenths of the list.
+    """
+    days = sorted(set(days))
+    n = len(days)
+    if n <= least:
+        cut = int(n * 0.7)
+        return [{"train_start": days[0], "train_end": days[cut], "test_start": days[cut + 1], "test_end": days[-1]}] if cut + 1 < n else []
+    out, end = [], least
+    while end + gap < n:
+        last = end + every >= n
+        stop = pd.Timestamp(days[-1]) + pd.offsets.BDay(50) if last else days[end + every + gap - 1]
+        out.append({"train_start": days[max(0, end - most)], "train_end": days[end], "test_start": days[end + gap], "test_end": stop.date() if last else stop})
+        end += every
+    return out
+
+
 def _range(df: DataFrame, p: Panel, a, b, closed: bool) -> DataFrame:
     kind = dict(df.dtypes)[p.ts]
     t = F.unix_micros(F.col(p.ts).cast("timestamp")) if kind.startswith("timestamp") or kind == "date" else F.col(p.ts)

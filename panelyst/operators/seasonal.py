@@ -80,11 +80,15 @@ def yoy(df: DataFrame, col: str, how: str = "diff", p: Panel = PANEL) -> DataFra
 
 
 def yoy_holiday(df: DataFrame, col: str, links: DataFrame, p: Panel = PANEL) -> DataFrame:
-    """Difference to the value at the linked date of the year before (``date``, ``date_prev``), else 364 days earlier."""
-    anchors = df.join(F.broadcast(links.select(F.col("date").alias(p.ts), "date_prev")), p.ts, "left")  # a calendar
-    anchors = anchors.withColumn("_a", F.coalesce("date_prev", F.date_sub(p.ts, 364)).cast(dict(df.dtypes)[p.ts])).withColumnsRenamed({p.ts: "_now", "_a": p.ts})
+    """Difference to the value at the linked date of the year before (``date``, ``date_p1y``), else 364 days earlier.
+
+    Of several links of a date the earliest counts. The join is left to the
+    planner, which broadcasts the links if they are as few as a calendar's.
+    """
+    anchors = df.join(links.groupBy(F.col("date").alias(p.ts)).agg(F.min("date_p1y").alias("date_p1y")), p.ts, "left")
+    anchors = anchors.withColumn("_a", F.coalesce("date_p1y", F.date_sub(p.ts, 364)).cast(dict(df.dtypes)[p.ts])).withColumnsRenamed({p.ts: "_now", "_a": p.ts})
     past = df.select(p.key, p.ts, number(col).alias("_past"), *p.tie)
-    met = merge_asof(anchors, past, p, ["_past"]).drop(p.ts, "date_prev").withColumnRenamed("_now", p.ts)
+    met = merge_asof(anchors, past, p, ["_past"]).drop(p.ts, "date_p1y").withColumnRenamed("_now", p.ts)
     return met.withColumnRenamed("_past_masof", f"{col}_lag1y").withColumn(f"{col}_yoy", number(col) - F.col(f"{col}_lag1y"))
 
 
@@ -113,59 +117,81 @@ def superbowl(year: int) -> dt.date:
     return nth_weekday(year, 2, 6, 1 if year <= 2021 else 2)
 
 
-#: Holiday, importance, its date by year.
+def eid_alfitr(year: int) -> dt.date:
+    """The first 1 Shawwal of a Gregorian year, by the arithmetic Islamic calendar (leap years 2, 5, 7, 10, 13, 16, 18, 21, 24, 26, 29 of 30)."""
+    h = int((year - 622) * 33 / 32) - 1
+    while True:
+        days = 29 * 9 + 5 + (h - 1) * 354 + (3 + 11 * h) // 30  # nine months of 30 and 29 days in turn, then the first day of the tenth
+        day = dt.date(622, 7, 19) + dt.timedelta(days)
+        if day.year >= year:
+            return day
+        h += 1
+
+
+#: Holiday, its date by year, importance; in the order in which they come before others of the same date.
 HOLIDAYS = (
-    ("NewYear", "High", lambda y: dt.date(y, 1, 1)),
-    ("MartinLutherKing", "Low", lambda y: nth_weekday(y, 1, 0, 3)),
-    ("SuperBowl", "Mid", superbowl),
-    ("ValentinesDay", "Mid", lambda y: dt.date(y, 2, 14)),
-    ("PresidentsDay", "Low", lambda y: nth_weekday(y, 2, 0, 3)),
-    ("Easter", "High", easter),
-    ("MothersDay", "Mid", lambda y: nth_weekday(y, 5, 6, 2)),
-    ("MemorialDay", "Mid", lambda y: nth_weekday(y, 5, 0, -1)),
-    ("FathersDay", "Low", lambda y: nth_weekday(y, 6, 6, 3)),
-    ("IndependenceDay", "Mid", lambda y: dt.date(y, 7, 4)),
-    ("LaborDay", "Mid", lambda y: nth_weekday(y, 9, 0, 1)),
-    ("ColumbusDay", "Low", lambda y: nth_weekday(y, 10, 0, 2)),
-    ("Halloween", "Mid", lambda y: dt.date(y, 10, 31)),
-    ("VeteransDay", "Low", lambda y: dt.date(y, 11, 11)),
-    ("Thanksgiving", "High", lambda y: nth_weekday(y, 11, 3, -1)),
-    ("Christmas", "High", lambda y: dt.date(y, 12, 25)),
+    ("NewYear", lambda y: dt.date(y, 1, 1), "High"),
+    ("Christmas", lambda y: dt.date(y, 12, 25), "High"),
+    ("LaborDay", lambda y: nth_weekday(y, 9, 0, 1), "Mid"),
+    ("JuneTeenth", lambda y: dt.date(y, 6, 19), "Mid"),
+    ("Easter", easter, "High"),
+    ("Thanksgiving", lambda y: nth_weekday(y, 11, 3, -1), "High"),
+    ("MotherDay", lambda y: nth_weekday(y, 5, 6, 2), "Mid"),
+    ("MemorialDay", lambda y: nth_weekday(y, 5, 0, -1), "Mid"),
+    ("EidAlfitr", eid_alfitr, "Mid"),
+    ("Halloween", lambda y: dt.date(y, 10, 31), "Mid"),
+    ("ValentinesDay", lambda y: dt.date(y, 2, 14), "Mid"),
+    ("SuperBowl", superbowl, "Mid"),
+    ("StPatricksDay", lambda y: dt.date(y, 3, 17), "Mid"),
+    ("CincoDeMayo", lambda y: dt.date(y, 5, 5), "Mid"),
 )
-SPREAD = ("Easter", "Thanksgiving", "Christmas")
+#: Holidays with days around them, and the first and last of these days.
+AROUND, OFFSETS = ("Christmas", "Easter", "Thanksgiving"), range(-10, 10)
 
 
 def event_calendar(spark, first_year: int, last_year: int) -> DataFrame:
-    """``date``, ``evtname``, ``importance`` of each year's holidays and of the ten days around three of them; one event a date."""
+    """``date``, ``evtname`` and ``evtimp`` of the holidays of both years and those between, and of the days around three of them.
+
+    One event a date: a holiday comes before a day around one, then the order of the list holds.
+    """
     rows: dict[dt.date, tuple] = {}
-    days = [(f(y), name, weight) for y in range(first_year, last_year + 1) for name, weight, f in HOLIDAYS]
-    for day, name, weight in sorted(days):
-        rows.setdefault(day, (day, name, weight))
-    for day, name, _ in sorted(days):
-        for k in range(-10, 11) if name in SPREAD else ():
-            at = day + dt.timedelta(k)
-            if k:
-                rows.setdefault(at, (at, f"{name}{k:+d}", "Low"))
-    return spark.createDataFrame(sorted(rows.values()), "date date, evtname string, importance string")
+    for year in range(first_year, last_year + 1):
+        for name, day, importance in HOLIDAYS:
+            rows.setdefault(day(year), (day(year), name, importance))
+    dates = {name: day for name, day, _ in HOLIDAYS}
+    for year in range(first_year, last_year + 1):
+        for k in OFFSETS:
+            for name in AROUND:
+                at = dates[name](year) + dt.timedelta(k)
+                rows.setdefault(at, (at, f"{name}+{k}", "Mid"))
+    return spark.createDataFrame(sorted(rows.values()), "date date, evtname string, evtimp string")
 
 
 def event_links(calendar: DataFrame) -> DataFrame:
-    """Each event with the same event of the year before, and ordinary days whose linked day was an event."""
+    """Each event (date) with the same event of the year before (date_p1y), and the reverse.
+
+    The reverse of a link, named with ``-R``, is at 52 weeks before the earlier
+    date and points to 52 weeks after the later one. Links of the same two dates are one.
+    """
     year = F.year("date")
-    now, before = calendar.select("date", "evtname", year.alias("y")), calendar.select(F.col("date").alias("date_prev"), "evtname", (year + 1).alias("y"))
-    linked = now.join(before, ["evtname", "y"]).select("date", "date_prev")
-    spill = linked.select(F.date_add("date_prev", 364).alias("date"), F.date_sub("date", 364).alias("date_prev")).join(linked.select("date"), "date", "left_anti")
-    return linked.unionByName(spill).groupBy("date").agg(F.min("date_prev").alias("date_prev"))
+    now, before = calendar.select("date", "evtname", year.alias("y")), calendar.select(F.col("date").alias("date_p1y"), "evtname", (year + 1).alias("y"))
+    linked = now.join(before, ["evtname", "y"]).select("date", "date_p1y", "evtname")
+    reverse = linked.select(F.date_sub("date_p1y", 364).alias("date"), F.date_add("date", 364).alias("date_p1y"), F.concat("evtname", F.lit("-R")).alias("evtname"))
+    both = linked.withColumn("k", F.lit(0)).unionByName(reverse.withColumn("k", F.lit(1)))
+    return both.groupBy("date", "date_p1y").agg(F.min(F.struct("k", "evtname"))["evtname"].alias("evtname"))
 
 
 def event_distances(spark, calendar: DataFrame, first: str, last: str, bound: int = 60) -> DataFrame:
-    """Per day, days since the last and (negative) to the next event of all, High and Mid, within the bound."""
+    """Per day and kind (all, High, Mid): days since the last and to the next event (0 or negative), within the bound, and the events' names.
+
+    Null where there is no such event in the calendar.
+    """
     spine = spark.sql(f"select explode(sequence(date'{first}', date'{last}')) as date")
-    for tag, keep in (("", F.lit(True)), ("_High", F.col("importance") == "High"), ("_Mid", F.col("importance") == "Mid")):
-        days = calendar.where(keep).select("date", F.lit(0).alias("_k"), F.col("date").alias("_e"))
-        p = Panel("date", "_k")
-        for name, forward in (("since_last", False), ("to_next", True)):
-            spine = merge_asof(spine.withColumn("_k", F.lit(0)), days, p, ["_e"], forward)
+    for kind in ("all", "High", "Mid"):
+        days = calendar.where(F.lit(kind == "all") | (F.col("evtimp") == kind)).select("date", F.lit(0).alias("_k"), F.col("date").alias("_e"), F.col("evtname").alias("_n"))
+        for name, short, forward in (("since_last", "prev", False), ("to_next", "next", True)):
+            spine = merge_asof(spine.withColumn("_k", F.lit(0)), days, Panel("date", "_k"), ["_e", "_n"], forward)
             gap = F.datediff("date", "_e_masof")
-            spine = spine.withColumn(f"{name}{tag}", F.least(F.lit(bound), F.greatest(F.lit(-bound), F.coalesce(gap, F.lit(-bound if forward else bound))))).drop("_e_masof", "_k")
+            held = F.when(gap.isNotNull(), F.least(F.lit(bound), F.greatest(F.lit(-bound), gap)))
+            spine = spine.withColumns({f"dist_{name}_{kind}": held, f"evt_{kind}_{short}": F.col("_n_masof")}).drop("_e_masof", "_n_masof", "_k")
     return spine

@@ -65,6 +65,17 @@ def clip(c: Column, low: float | None = None, high: float | None = None) -> Colu
     return c
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The frame, worked out once for the several branches that read it.
+
+    It goes to the session's checkpoint folder where there is one; else Spark
+    keeps it in memory and on disk, to be worked out again where a part is lost.
+    """
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=False)
+    return df.persist()
+
+
 def decay(halflife: float) -> float:
     """Smoothing factor of a half-life in rows; a half-life of 0 means none."""
     return 0.0 if halflife == 0 else 1 - 0.5 ** (1 / halflife)

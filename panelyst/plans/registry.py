@@ -141,13 +141,26 @@ series("expanding_drawdown", lambda e: X.drawdown(e.withColumn("g", F.col("x") -
 _NO = "n AS (SELECT event_id, x, row_number() OVER (ORDER BY ts, event_id) AS no FROM e)"
 _MR = "mr AS (SELECT a.event_id, a.no, sum((b.x < a.x)::INT) AS l, sum((b.x = a.x)::INT) AS q FROM n a JOIN n b ON b.no BETWEEN a.no - 49 AND a.no GROUP BY 1, 2)"
 series("stream_moving_rank", lambda e: X.moving_rank(e, ["x"], 50, EV), {"v": ("x_appops50", "CASE WHEN no >= 50 THEN 2 * (l + (q + 1) / 2.0 - 1) / 49 - 1 END")}, [_NO, _MR], "JOIN mr USING (event_id)")
-_QG = """b AS (SELECT *, (SELECT min(x) FROM e) AS lo, ((SELECT max(x) FROM e) - (SELECT min(x) FROM e)) / 2048 AS st FROM e),
- h AS (SELECT d, least(2047, floor((x - lo) / st)) AS bin, count(*) AS n FROM b GROUP BY 1, 2),
- u AS (SELECT o.d, h.bin, sum(h.n) AS n FROM (SELECT DISTINCT d FROM e) o JOIN h ON h.d < o.d GROUP BY 1, 2),
- sh AS (SELECT d, bin, sum(n) OVER (PARTITION BY d ORDER BY bin) / sum(n) OVER (PARTITION BY d) AS s FROM u),
- g AS (SELECT d, (SELECT min(lo) FROM b) + (min(CASE WHEN s >= 0.05 THEN bin END) + 1) * (SELECT min(st) FROM b) AS q5, (SELECT min(lo) FROM b) + (min(CASE WHEN s >= 0.95 THEN bin END) + 1) * (SELECT min(st) FROM b) AS q95 FROM sh GROUP BY d)"""
-series("stream_quantile", lambda e: X.quantile_global(e, ["x"], [0.05, 0.95], EV), {"q5": ("x_qtl0.05", "g.q5"), "q95": ("x_qtl0.95", "g.q95")}, [_QG], "LEFT JOIN g USING (d)")
-series("stream_winsorize", lambda e: X.winsorize_global(e, ["x"], 0.05, 0.95, EV), {"v": ("x_clipqtl", "CASE WHEN x < g.q5 THEN g.q5 WHEN x > g.q95 THEN g.q95 ELSE x END")}, [_QG], "LEFT JOIN g USING (d)")
+def so_far(name: str, expr: str, shares: list[float], period: int, src: str = "e") -> str:
+    """CTE with, per emission b, the quantiles q0.. of the first b * period rows of the stream; and ``{name}_n``, each row's emission."""
+    qs = ", ".join(f"quantile_cont(v, {q!r}) AS q{i}" for i, q in enumerate(shares))
+    return f"""{name}_n AS (SELECT event_id, {expr} AS v, row_number() OVER (ORDER BY ts, event_id) - 1 AS no, row_number() OVER (ORDER BY ts, event_id) // {period} AS b FROM {src}),
+ {name} AS (SELECT o.b, {qs} FROM (SELECT DISTINCT b FROM {name}_n WHERE b > 0) o JOIN {name}_n r ON r.no < o.b * {period} GROUP BY o.b)"""
+
+
+_QG, _JQ = so_far("g", "x", [0.05, 0.95], 250), "JOIN g_n USING (event_id) LEFT JOIN g USING (b)"
+series("stream_quantile", lambda e: X.quantile_global(e, ["x"], [0.05, 0.95], EV, 250), {"q5": ("x_qtl0.05", "g.q0"), "q95": ("x_qtl0.95", "g.q1")}, [_QG], _JQ)
+series("stream_winsorize", lambda e: X.winsorize_global(e, ["x"], 0.05, 0.95, EV, 250), {"v": ("x_clipqtl", "CASE WHEN x < g.q0 THEN g.q0 WHEN x > g.q1 THEN g.q1 ELSE x END")}, [_QG], _JQ)
+_BQ = so_far("bq", "x", [(i + 1) / 9 for i in range(8)], 250)
+_BJ = "CASE WHEN bq.q0 IS NOT NULL AND fw IS NOT NULL THEN " + " + ".join(f"(x >= bq.q{i})::INT" for i in range(7)) + " END"
+_BR = f"""fw AS (SELECT event_id, lead(y) OVER ({OW}) AS fw FROM e), bj AS (SELECT e.event_id, bq_n.no, fw.fw, {_BJ} AS j FROM e JOIN bq_n USING (event_id) LEFT JOIN bq USING (b) JOIN fw USING (event_id)),
+ bs AS (SELECT event_id, fw, {", ".join(f"sum(fw) FILTER (j = {j}) OVER w AS s{j}, sum(fw * fw) FILTER (j = {j}) OVER w AS t{j}, count(*) FILTER (j = {j}) OVER w AS c{j}" for j in (0, 3, 7))} FROM bj WINDOW w AS (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+series(
+    "bucket_response",
+    lambda e: X.bucket_response(X.lag_forward(e, ["y"], [-1], EV).withColumnRenamed("forward_y_lag-1", "fw"), "x", "fw", 8, EV, 250, 300).select("*", *[F.col(f"x_fw_bucketxy_{k}")[j].alias(f"{k}{j}") for k in ("mean", "std") for j in (0, 3, 7)]),
+    {f"{k}{j}": (f"{k}{j}", f"CASE WHEN bs.fw IS NOT NULL AND c{j} > 0 THEN {sql.format(j=j)} END") for k, sql in (("mean", "s{j} / c{j}"), ("std", "(t{j} / c{j} - (s{j} / c{j}) * (s{j} / c{j})) / sqrt(c{j})")) for j in (0, 3, 7)},
+    [_BQ, _BR], "JOIN bs USING (event_id)",
+)
 
 # --- cross-section (a day is one time) ---------------------------------------
 CS = Panel("d", "user_id", ("event_id",))
@@ -308,12 +321,52 @@ def dense_codes(spark, d):
     return S.codes(table(spark, d, "events"), "event_type").select("event_id", "dscode")
 
 
-@query("split_symbol", "SELECT o_orderkey, s AS sym, regexp_replace(s, '(USDT|BUSD|USDC|TUSD|BTC|ETH|BNB|EUR)$', '') AS base, nullif(regexp_extract(s, '(USDT|BUSD|USDC|TUSD|BTC|ETH|BNB|EUR)$', 1), '') AS quote FROM (SELECT o_orderkey, o_orderstatus || CAST(o_custkey AS VARCHAR) || (CASE o_orderkey % 3 WHEN 0 THEN 'USDT' WHEN 1 THEN 'BTC' ELSE 'X' END) AS s FROM orders)")
+_BASES = ["FDUSD", "BUSD", "USDT", "USDC", "TUSD", "USD", "BNB", "ETH", "BTC", "BIDR", "PAX", "BRL", "EUR", "RUB", "TRY", "AUD", "GBP", "XRP", "NGN", "TRX", "X", "_PERP"]
+_MARKS = ["", "UP", "DOWN", "BULL", "BEAR"]
+_SYM = "o_orderstatus || CAST(o_custkey AS VARCHAR) || [" + ", ".join(f"'{m}'" for m in _MARKS) + "][o_custkey % 5 + 1] || [" + ", ".join(f"'{b}'" for b in _BASES) + "][o_orderkey % 22 + 1]"
+_BASE = "CASE " + " ".join(f"WHEN ends_with(s, '{b}') THEN '{b}'" for b in _BASES[:20]) + " END"
+_ADJ = "CASE " + " ".join(f"WHEN ends_with(s, '{m}' || base) THEN '{m}'" for m in _MARKS[1:]) + " WHEN base IS NOT NULL THEN '' END"
+_SID = "CASE WHEN base IS NULL THEN NULL WHEN isupdown <> '' THEN 12 " + " ".join(f"WHEN base = '{b}' THEN {i}" for i, b in enumerate(["USDT", "BTC", "ETH", "BUSD", "BNB", "USDC", "TUSD", "FDUSD", "USD"], 1)) + " ELSE 10 END"
+
+
+@query("split_symbol", f"WITH s AS (SELECT o_orderkey, {_SYM} AS s FROM orders), b AS (SELECT *, {_BASE} AS base FROM s), m AS (SELECT *, {_ADJ} AS isupdown FROM b) SELECT o_orderkey, s AS sym, base, replace(s, isupdown || base, '') AS ticker, isupdown, {_SID} AS orderid FROM m")
 def split_symbol(spark, d):
-    o = table(spark, d, "orders")
-    sym = F.concat("o_orderstatus", F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "USDT").when(F.col("o_orderkey") % 3 == 1, "BTC").otherwise("X"))
-    base, quote, _ = S.split_symbol(F.col("sym"))
-    return o.select("o_orderkey", sym.alias("sym")).select("o_orderkey", "sym", base.alias("base"), quote.alias("quote"))
+    pick = lambda items, i: F.element_at(F.array(*map(F.lit, items)), (i + 1).cast("int"))
+    o = table(spark, d, "orders").select("o_orderkey", F.concat("o_orderstatus", F.col("o_custkey").cast("string"), pick(_MARKS, F.col("o_custkey") % 5), pick(_BASES, F.col("o_orderkey") % 22)).alias("sym"))
+    base, ticker, mark, sort_id = S.split_symbol(F.col("sym"))
+    return o.select("o_orderkey", "sym", base.alias("base"), ticker.alias("ticker"), mark.alias("isupdown"), sort_id.alias("orderid"))
+
+
+_FOLDER = "['data/spot/monthly/klines/', 'data/futures/um/monthly/klines/', 'data/futures/cm/monthly/klines/']"
+
+
+@query("universe", f"""WITH p AS (SELECT DISTINCT {_FOLDER}[o_custkey % 3 + 1] || {_SYM} || CASE WHEN o_orderkey % 4 = 0 THEN '_250328' ELSE '' END || '/' AS "Prefix" FROM orders),
+ k AS (SELECT "Prefix", CASE WHEN "Prefix" LIKE 'data/spot%' THEN 'spot' WHEN "Prefix" LIKE '%/um/%' THEN 'future_um' ELSE 'future_cm' END AS kind, regexp_extract("Prefix", 'klines/(.*)/', 1) AS sym_original FROM p),
+ s AS (SELECT *, regexp_replace(sym_original, '_250328$', '') AS s FROM k), b AS (SELECT *, {_BASE} AS base FROM s), m AS (SELECT *, {_ADJ} AS isupdown FROM b)
+ SELECT "Prefix", kind, sym_original, s AS sym, base, replace(s, isupdown || base, '') AS ticker, isupdown, coalesce({_SID}, 100) AS orderid FROM m""")
+def universe(spark, d):
+    pick = lambda items, i: F.element_at(F.array(*map(F.lit, items)), (i + 1).cast("int"))
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    sym = F.concat("o_orderstatus", c.cast("string"), pick(_MARKS, c % 5), pick(_BASES, o % 22), F.when(o % 4 == 0, "_250328").otherwise(""))
+    return S.universe(table(spark, d, "orders").select(F.concat(pick(list(S.KINDS.values()), c % 3), sym, F.lit("/")).alias("Prefix")).distinct())
+
+
+@query("should_query", """WITH l AS (SELECT user_id AS token, ts AS query_date, value > 30 AS success FROM events), k AS (SELECT token, min(query_date) FILTER (success) AS f, max(query_date) FILTER (success) AS t FROM l GROUP BY 1),
+ r AS (SELECT token, (SELECT max(query_date) FROM l WHERE l.token = k.token AND query_date < f) AS a, (SELECT min(query_date) FROM l WHERE l.token = k.token AND query_date > t) AS b FROM k)
+ SELECT e.user_id AS token, e.ts AS query_date FROM events e LEFT JOIN r ON r.token = e.user_id WHERE NOT coalesce(e.ts < r.a, false) AND NOT coalesce(e.ts > r.b, false)""")
+def should_query(spark, d):
+    return S.should_query(failing_range(spark, d), table(spark, d, "events").select(F.col("user_id").alias("token"), F.col("ts").alias("query_date")))
+
+
+@query("names", "SELECT o_orderkey, sha256(o_orderpriority) AS hash, translate(o_orderpriority || ' (a/b:c,d)', ' /:(),', '______') AS file FROM orders")
+def names(spark, d):
+    text = F.col("o_orderpriority")
+    return table(spark, d, "orders").select("o_orderkey", S.name_hash(text).alias("hash"), S.file_name(F.concat(text, F.lit(" (a/b:c,d)"))).alias("file"))
+
+
+@query("shards", "SELECT o_orderkey, CAST(floor((CAST(o_orderdate AS DATE) - DATE '1970-01-01') / 10.0) AS INT) AS shard FROM orders")
+def shards(spark, d):
+    return S.shards(table(spark, d, "orders"), "o_orderdate", 10).select("o_orderkey", "shard")
 
 
 @query("failing_range", "WITH l AS (SELECT user_id AS token, ts AS query_date, value > 30 AS success FROM events), k AS (SELECT token, min(query_date) FILTER (success) AS first_ok, max(query_date) FILTER (success) AS last_ok FROM l GROUP BY 1) SELECT k.token, first_ok, last_ok, max(query_date) FILTER (query_date < first_ok AND NOT success) AS fails_until, min(query_date) FILTER (query_date > last_ok AND NOT success) AS fails_from FROM k LEFT JOIN l ON l.token = k.token GROUP BY 1, 2, 3")
@@ -341,7 +394,13 @@ def ata(spark, d):
 def point_figure(spark, d):
     names = [f"x_pfp5.0x3_{s}" for s in ("px", "dir", "el", "perf", "perf2", "dur")]
     out = P.point_figure(events(spark, d), "x", 5.0, 3, EV)
-    return out.select("event_id", *[F.col(f"`{n}`").alias(n.rsplit("_", 1)[1]) for n in names])
+    out = out.select("event_id", *[F.col(f"`{n}`").alias(n.rsplit("_", 1)[1]) for n in names])
+    return out.select("event_id", "px", "dir", "el", *r6("perf"), "perf2", "dur")
+
+
+@query("holt_level")
+def holt_level(spark, d):
+    return P.holt_level(events(spark, d), "x", 0.3, 0.1, EV).select("event_id", F.col("`x_holt0.3x0.1`").alias("v")).select("event_id", *r6("v"))
 
 
 @query("svd_residual")
@@ -447,14 +506,48 @@ def backtest_impact(spark, d):
     return events(spark, d).select("event_id", B.impact_bps(F.col("y"), F.col("x"), F.col("y"), F.col("x")).alias("v")).select("event_id", *r6("v"))
 
 
-@query("bucket_response")
-def bucket_response(spark, d):
-    return B.bucket_response(_signals(spark, d), "sig_b", "forward_dx_lag-1").select("bucket", "cnt", *r6("mean", "std", "stderr", "var_stderr"))
+_KB_RULES = {"sharpe": 1.0, "drawdown": 400.0, "per_trade": 100.0, "holding": 50.0, "least": 5}
+
+
+def _selectable(spark, d):
+    """One row per user and day: a signal that leads the coming change, and one that does not."""
+    e = J.group_last(events(spark, d), ["x", "y"], Panel("d", "user_id", ("ts", "event_id")))
+    p = Panel("d", "user_id")
+    e = X.diff(e, ["x"], [1], p)
+    return e.select("d", "user_id", F.col("x_diff1").alias("ret"), (F.col("y") + 1).alias("wgt"), (50 - F.col("x")).alias("sigf_a"), (F.col("y") - 5).alias("sigf_b"))
 
 
-@query("select_best")
+def _kb_sql(name: str, tail: str) -> str:
+    k = repr(0.5 ** (1 / 5))
+    mean = lambda c: f"sum(b.{c} * pow({k}, a.cnt - b.cnt)) / sum(pow({k}, a.cnt - b.cnt))"
+    return f"""WITH {E_SQL}, o AS (SELECT d, user_id, arg_max(x, (ts, event_id)) AS x, arg_max(y, (ts, event_id)) AS y FROM e GROUP BY 1, 2),
+ f AS (SELECT d, user_id, coalesce(x - lag(x) OVER w, 0) AS ret, y + 1 AS wgt, 50 - x AS sigf_a, y - 5 AS sigf_b FROM o WINDOW w AS (PARTITION BY user_id ORDER BY d)),
+ lo AS (SELECT 'sigf_a' AS signal, d, user_id, ret, wgt, sigf_a AS v FROM f UNION ALL SELECT 'sigf_b', d, user_id, ret, wgt, sigf_b FROM f),
+ po AS (SELECT *, coalesce(lag(v) OVER (PARTITION BY signal, user_id ORDER BY d), 0) * wgt AS s FROM lo),
+ tr AS (SELECT *, abs(s - lag(s) OVER (PARTITION BY signal, user_id ORDER BY d)) AS t FROM po),
+ dt AS (SELECT signal, d, sum(abs(s)) AS gross, sum(s * ret) AS pnl, coalesce(sum(t), 0) AS trd, row_number() OVER (PARTITION BY signal ORDER BY d) AS cnt FROM tr GROUP BY 1, 2),
+ dc AS (SELECT *, sum(pnl) OVER (PARTITION BY signal ORDER BY d) AS cum, pnl * pnl AS pnl2 FROM dt),
+ mm AS (SELECT a.signal, a.d, a.cnt, a.cum, {mean("gross")} AS mg, {mean("pnl")} AS mp, {mean("trd")} AS mt, {mean("pnl2")} AS mp2 FROM dc a JOIN dc b ON a.signal = b.signal AND b.cnt <= a.cnt GROUP BY 1, 2, 3, 4),
+ ms AS (SELECT *, max(cum) OVER w AS top, min(cum) OVER w AS low, CASE WHEN cnt = 1 THEN 0 ELSE sqrt(greatest(mp2 - mp * mp, 0)) END AS sd FROM mm WINDOW w AS (PARTITION BY signal ORDER BY d)),
+ sc AS (SELECT signal, d, cnt, sqrt(365) * {gd("mp", "sd")} AS sr, 1e4 * {gd("mp", "mt")} AS rpt, {gd("mg", "mt")} AS hold, 100 * {gd("(top - cum)", "mg")} AS dd, 100 * {gd("(cum - low)", "mg")} AS ddn FROM ms),
+ {name} AS (SELECT *, CASE WHEN hold < 50 AND cnt > 5 AND sr > 1 AND dd < 400 AND rpt > 100 THEN 1 WHEN hold < 50 AND cnt > 5 AND sr < -1 AND ddn < 400 AND rpt < -100 THEN -1 ELSE 0 END AS sel FROM sc) {tail}"""
+
+
+@query("signal_scores", _kb_sql("k", f"SELECT signal, d, {s6(sr='sr', rpt='rpt', hold='hold', dd='dd', ddn='ddn')}, sel FROM k"))
+def signal_scores(spark, d):
+    out = B.signal_scores(_selectable(spark, d), ["sigf_a", "sigf_b"], "ret", 5, Panel("d", "user_id"), "wgt", _KB_RULES)
+    return out.select("signal", "d", *r6("sr", "rpt", "hold", "dd", "ddn"), "sel")
+
+
+@query("select_best", _kb_sql("k", f"""SELECT f.d, f.user_id, {s6(sig_kbest="CASE WHEN abs(a.sel) + abs(b.sel) > 0 THEN (a.sel * sigf_a + b.sel * sigf_b) / (abs(a.sel) + abs(b.sel)) ELSE 0 END")} FROM f JOIN k a ON a.signal = 'sigf_a' AND a.d = f.d JOIN k b ON b.signal = 'sigf_b' AND b.d = f.d"""))
 def select_best(spark, d):
-    return B.select_best(_signals(spark, d), ["sig_a", "sig_b"], "forward_dx_lag-1", 5, EV).select("event_id", *r6("sig_kbest"))
+    return B.select_best(_selectable(spark, d), ["sigf_a", "sigf_b"], "ret", 5, Panel("d", "user_id"), "wgt", _KB_RULES).select("d", "user_id", *r6("sig_kbest"))
+
+
+@query("selection_stats", _kb_sql("k", f"SELECT signal, {s6(abs_sel='avg(abs(sel))', sel='avg(sel)', sr='avg(sr)', hold='avg(hold)')}, row_number() OVER (ORDER BY abs(avg(sel)) DESC, signal) AS rank FROM k GROUP BY signal"))
+def selection_stats(spark, d):
+    out = B.selection_stats(B.signal_scores(_selectable(spark, d), ["sigf_a", "sigf_b"], "ret", 5, Panel("d", "user_id"), "wgt", _KB_RULES))
+    return out.select("signal", *r6("abs_sel", "sel", "sr", "hold"), F.col("rank").cast("long").alias("rank"))
 
 
 # --- learning ----------------------------------------------------------------
@@ -509,28 +602,74 @@ def bar_query(name: str, build: Callable[[DataFrame], DataFrame], outs: dict[str
 
 
 def _prepared(b: DataFrame) -> DataFrame:
-    return PL.remove_market(PL.define_universe(PL.prepare(b, BARS, 5), BARS, 3, 5), "tret", BARS)
+    return PL.remove_market(_in_universe(b), "tret", BARS, period=20)
+
+
+def _in_universe(b: DataFrame) -> DataFrame:
+    return PL.define_universe(PL.prepare(b, BARS, 5, period=20), BARS, 3, 5)
 
 
-bar_query("pipeline_prepare", lambda b: PL.prepare(b, BARS, 5), {"tret": "tret", "clip": "tret_clipqtl", "wgt": "wgt", "age": "ipocnt"})
-bar_query("pipeline_universe", lambda b: PL.define_universe(PL.prepare(b, BARS, 5), BARS, 3, 5), {"univ": "univ", "wgt": "wgt"})
+bar_query("pipeline_prepare", lambda b: PL.prepare(b, BARS, 5, 20, 20), {"tret": "tret", "clip": "tret_clipqtl", "wgt": "wgt", "sigf_wgt": "sigf_wgt", "age": "ipocnt"})
+bar_query("pipeline_universe", _in_universe, {"univ": "univ", "wgt": "wgt"})
 bar_query("pipeline_remove_market", _prepared, {"v": "tret_xmkt"})
-bar_query("pipeline_forward", lambda b: PL.forward_returns(_prepared(b), "tret_xmkt", BARS, [3]), {"f1": "forward_fh1", "f3": "forward_fh3"})
+bar_query("pipeline_forward", lambda b: PL.forward_returns(_in_universe(b), "tret", BARS, [3], period=20), {"f1": "forward_fh1", "f3": "forward_fh3", "c1": "forward_fh1_clip", "c3": "forward_fh3_clip"})
 bar_query("pipeline_mean_reversion", lambda b: PL.mean_reversion(b, "close", BARS, [3, 8]), {"v": "sigf_close_mual"})
-bar_query("pipeline_momentum", lambda b: PL.momentum(b, "close", BARS, 3, 8, 5, 20), {"macd": "close_macd3x8_appops20", "sig": "close_macd3x8x5_appops20", "skew": "close_ewmskew8_appops20", "kurt": "close_ewmkurt8_appops20"})
-bar_query("pipeline_volatility", lambda b: PL.volatility(b, "close", BARS, 3, 8, 20), {"v": "close_volratio3x8_appops20"})
+bar_query("pipeline_momentum", lambda b: PL.momentum(b, "close", BARS, 3, 8, 5, 20), {"macd": "sigf_close_macd3x8_appops20", "sig": "sigf_close_macd3x8x5_appops20", "skew": "sigf_close_ewmskew8_appops20", "kurt": "sigf_close_ewmkurt8_appops20"})
+bar_query("pipeline_volatility", lambda b: PL.volatility(b, "close", BARS, 3, 8, 20), {"v": "sigf_close_volratio3x8_appops20"})
 bar_query("pipeline_gaps", lambda b: PL.gaps(b, "close", BARS, 5, 1, 0.5, 4), {"gap": "close_gap5", "smooth": "close_gap5_ewm4"})
-bar_query("pipeline_taker_share", lambda b: PL.taker_share(b, "taker", "total", BARS, 3, 8, 20), {"v": "takerpct", "rank": "takerpct_ewm3_appops20"})
-bar_query("pipeline_turnover", lambda b: PL.turnover_excess(b.withColumn("turnover", F.col("close") * F.col("volume")), BARS, 3, 8), {"v": "turnexc_macd3x8", "r": "turnover_macdr3x8"})
+bar_query("pipeline_taker_share", lambda b: PL.taker_share(b, "taker", "total", BARS, 3, 8, 20), {"v": "takerpct", "rank": "sigf_takerpct_ewm3_appops20"})
+bar_query("pipeline_turnover", lambda b: PL.turnover_excess(b.withColumn("turnover", F.col("close") * F.col("volume")), BARS, 3, 8), {"v": "sigf_turnexc_macd3x8"})
+bar_query("pipeline_turnover_ratio", lambda b: PL.turnover_ratio(b.withColumn("turnover", F.col("close") * F.col("volume")), BARS, 3, 8, 20), {"v": "sigf_turnover_macdr3x8_appops20"})
 bar_query("pipeline_point_figure", lambda b: PL.point_figure(_prepared(b), "tret", BARS, 0.5, 2, 4), {"dir": "pfp_dir", "dur": "pfp_dur", "turns": "pfp_dir_chg_ewm4"})
-bar_query("pipeline_pnl", lambda b: PL.pnl_features(_prepared(b).withColumn("sig", F.signum("tret_xmkt")), "sig", "tret_xmkt", BARS, 5, 20), {"sharpe": "sig_ewmsharpe5_appops20", "dd": "sig_ddpct_appops20"})
+bar_query("pipeline_pnl", lambda b: PL.pnl_features(_prepared(b).withColumn("sig", F.signum("tret_xmkt")), "sig", "tret_xmkt", BARS, 5, 20), {"sharpe": "sigf_sig_ewmsharpe5_appops20", "dd": "sigf_sig_ddpct_appops20"})
 bar_query("pipeline_pairs", lambda b: PL.pairs(b, "close", BARS, 10, 5, 1), {"v": "close_pairs"})
 bar_query("pipeline_forecast", lambda b: PL.naive_forecast(b, "close", BARS, 3, 5), {"pred": "pred"})
 
 
-@query("pipeline_research")
-def pipeline_research(spark, d):
-    return PL.research(bars(spark, d), BARS, 3).select("signal", "n", *r6("sr", "ann_pnl", "mdd", "rpt", "rog"))
+bar_query("pipeline_svd_return", lambda b: PL.svd_return(_prepared(b), "tret_xmkt", BARS, 10, 5, 2), {"v": "sret_svd", "d0": "sigf_d_0"})
+bar_query("pipeline_cluster_return", lambda b: PL.cluster_return(_prepared(b), "tret_xmkt", BARS, L.time_splits(b, BARS, 10, 7, 1, 10), 2, period=20), {"v": "sret_kmeans", "cat": "kmeans_cat"})
+
+
+def research_query(kind: str) -> None:
+    def run(spark, d):
+        out = PL.research_stats(bars(spark, d), BARS, 3, kind=kind, period=20, rules=_KB_RULES, splits={"lookback": 15, "every": 5, "least": 10})
+        return out.select("signal", "n", *r6("sr", "ann_pnl", "mdd", "rpt", "rog"))
+
+    QUERIES["pipeline_research" if kind == "none" else f"pipeline_research_{kind}"] = run
+
+
+for _kind in PL.KINDS:
+    research_query(_kind)
+
+OD = Panel("date", "k")
+
+
+def daily_sales(spark, d):
+    return table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("k")).agg(F.sum("o_totalprice").alias("x"))
+
+
+_DSQL = "ds AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS k, sum(o_totalprice) AS x FROM orders GROUP BY 1, 2)"
+
+
+@query("forecast_lagged", f"WITH {_DSQL} SELECT l.date, l.k, {s6(pred='r.x')} FROM ds l ASOF LEFT JOIN (SELECT date + 364 AS t, k, x FROM ds) r ON l.k = r.k AND l.date >= r.t")
+def forecast_lagged(spark, d):
+    return PL.lagged_forecast(daily_sales(spark, d), "x", OD).select("date", "k", *r6("pred"))
+
+
+_FS = weighted("kf", 10, "lg", "lgs")
+
+
+@query("forecast_seasonal", f"""WITH {_DSQL}, nb AS (SELECT *, row_number() OVER (ORDER BY date, k) AS event_id, k AS user_id, row_number() OVER (PARTITION BY k ORDER BY date) AS rn FROM ds WHERE date < DATE '1997-06-01'),
+ lgs AS (SELECT *, lag(ln(1 + x)) OVER (PARTITION BY k ORDER BY date) AS lg FROM nb), {_FS}, off AS (SELECT date, k, ln(1 + x) - kf.m1 AS v, kf.m1 AS m FROM lgs LEFT JOIN kf USING (event_id))
+ SELECT l.date, l.k, {s6(pred='CASE WHEN r.v IS NOT NULL THEN exp(greatest(-0.5, least(0.5, r.v)) + l.m) / 1e3 END')} FROM off l ASOF LEFT JOIN (SELECT date + 364 AS t, k, v FROM off) r ON l.k = r.k AND l.date >= r.t""")
+def forecast_seasonal(spark, d):
+    out = PL.seasonal_forecast(daily_sales(spark, d).where("date < date'1997-06-01'"), "x", OD)
+    return out.withColumn("pred", (F.col("pred") + 1) / 1e3).select("date", "k", *r6("pred"))
+
+
+@query("forecast_holidays")
+def forecast_holidays(spark, d):
+    return PL.seasonal_forecast(daily_sales(spark, d), "x", OD, links=Y.event_links(Y.event_calendar(spark, 1994, 2002))).select("date", "k", *r6("pred"))
 
 
 BAR_SQL = f"""{E_SQL}, bb AS (SELECT d, event_type, arg_max(x, (ts, event_id)) AS close, sum(y) AS volume, sum(x) AS taker, sum(x + y) AS total FROM e GROUP BY 1, 2),
@@ -550,8 +689,9 @@ g2 AS (SELECT *, lag(mx) {_BW} AS lx, lag(mn) {_BW} AS ln FROM g), {weighted('k4
 g3 AS (SELECT g2.*, CASE WHEN close > lx + 0.5 * sqrt(greatest(k4.m2 - k4.m1 * k4.m1, 0)) THEN 1.0 WHEN close < ln - 0.5 * sqrt(greatest(k4.m2 - k4.m1 * k4.m1, 0)) THEN -1.0 ELSE 0.0 END AS gap FROM g2 JOIN k4 USING (event_id)),
 {weighted('kg', 4, 'gap', 'g3')} SELECT d, event_type, {s6(gap='gap', smooth='kg.m1')} FROM g3 JOIN kg USING (event_id)"""
 ORACLES["pipeline_turnover"] = f"""WITH {BAR_SQL}, t AS (SELECT *, close * volume AS tv FROM b), t2 AS (SELECT *, coalesce(ln(1 + tv) - lag(ln(1 + tv)) {_BW}, 0) AS df FROM t), t3 AS (SELECT *, df - avg(df) OVER (PARTITION BY d) AS dm FROM t2), t4 AS (SELECT *, sum(dm) {_BW} AS cs FROM t3),
-{weighted('a3', 3, 'cs', 't4')}, {weighted('a8', 8, 'cs', 't4')}, {weighted('b3', 3, 'tv', 't4')}, {weighted('b8', 8, 'tv', 't4')}
-SELECT d, event_type, {s6(v='a3.m1 - a8.m1', r=gd('b3.m1', 'b8.m1', 1.0) + ' - 1')} FROM t4 JOIN a3 USING (event_id) JOIN a8 USING (event_id) JOIN b3 USING (event_id) JOIN b8 USING (event_id)"""
+{weighted('a3', 3, 'cs', 't4')}, {weighted('a8', 8, 'cs', 't4')} SELECT d, event_type, {s6(v='a3.m1 - a8.m1')} FROM t4 JOIN a3 USING (event_id) JOIN a8 USING (event_id)"""
+ORACLES["pipeline_turnover_ratio"] = f"""WITH {BAR_SQL}, t4 AS (SELECT *, close * volume AS tv FROM b), {weighted('b3', 3, 'tv', 't4')}, {weighted('b8', 8, 'tv', 't4')}, m AS (SELECT event_id, {gd('b3.m1', 'b8.m1', 1.0)} - 1 AS v FROM b3 JOIN b8 USING (event_id)), {ranked('rk', 'm', 'v', 20)}
+SELECT d, event_type, {s6(v='rk.r')} FROM b JOIN rk USING (event_id)"""
 ORACLES["pipeline_taker_share"] = f"""WITH {BAR_SQL}, t AS (SELECT *, {gd('taker', 'total', 0.5)} - 0.5 AS tp FROM b), {weighted('k3', 3, 'tp', 't')}, m AS (SELECT event_id, k3.m1 AS v FROM k3), {ranked('rk', 'm', 'v', 20)}
 SELECT d, event_type, {s6(v='tp', rank='rk.r')} FROM t JOIN rk USING (event_id)"""
 ORACLES["pipeline_volatility"] = f"""WITH {BAR_SQL}, {weighted('k3', 3, 'close', 'b')}, {weighted('k8', 8, 'close', 'b')}, sd AS (SELECT event_id, CASE WHEN rn = 1 THEN 0 ELSE sqrt(greatest(k3.m2 - k3.m1 * k3.m1, 0)) END AS s3, CASE WHEN rn = 1 THEN 0 ELSE sqrt(greatest(k8.m2 - k8.m1 * k8.m1, 0)) END AS s8 FROM b JOIN k3 USING (event_id) JOIN k8 USING (event_id)),
@@ -560,8 +700,21 @@ m AS (SELECT event_id, {gd('s3', 's8', 1.0)} - 1 AS v FROM sd), {ranked('rk', 'm
 ORACLES["ata"] = f"""WITH RECURSIVE {E_SQL}, f AS (SELECT event_id, user_id, rn, x AS s, CAST(0 AS DOUBLE) AS b FROM e WHERE rn = 1
 UNION ALL SELECT event_id, user_id, rn, n AS s, (n - s) / rn + (1 - 1.0 / rn) * b FROM (SELECT e.event_id, e.user_id, e.rn, f.s, f.b, least(1.0, 2.0 / e.rn) * e.x + (1 - least(1.0, 2.0 / e.rn)) * (f.s + f.b) AS n FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
 SELECT event_id, {s6(x_ata2x1='s + b')} FROM f"""
-ORACLES["point_figure"] = f"""WITH RECURSIVE {E_SQL}, q AS (SELECT event_id, user_id, rn, floor(x / 5.0) AS box FROM e),
-f AS (SELECT event_id, user_id, rn, box, CAST(1 AS DOUBLE) AS way, box AS top, box AS entry, CAST(0 AS DOUBLE) AS dur FROM q WHERE rn = 1
-UNION ALL SELECT q.event_id, q.user_id, q.rn, q.box, CASE WHEN f.way * (f.top - q.box) >= 3 THEN -f.way ELSE f.way END, CASE WHEN f.way * (f.top - q.box) >= 3 OR f.way * (q.box - f.top) > 0 THEN q.box ELSE f.top END,
-  CASE WHEN f.way * (f.top - q.box) >= 3 THEN f.top ELSE f.entry END, CASE WHEN f.way * (f.top - q.box) >= 3 THEN 0 ELSE f.dur + 1 END FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1)
-SELECT event_id, box AS px, way AS dir, entry AS el, way * (box - entry) + CAST(0 AS DOUBLE) AS perf, way * (top - entry) + CAST(0 AS DOUBLE) AS perf2, dur FROM f"""
+ORACLES["point_figure"] = f"""WITH RECURSIVE {E_SQL}, q AS (SELECT event_id, user_id, rn, epoch_us(ts) AS t, floor(x / 5.0) AS px FROM e),
+f AS (SELECT event_id, user_id, rn, t, px, CAST(1 AS DOUBLE) AS dir, px AS el, px AS lo, px AS hi, t AS since FROM q WHERE rn = 1
+UNION ALL SELECT event_id, user_id, rn, t, px, CASE WHEN turn THEN -dir ELSE dir END, CASE WHEN turn THEN px ELSE el END, CASE WHEN turn THEN px ELSE lo2 END, CASE WHEN turn THEN px ELSE hi2 END, CASE WHEN turn THEN t ELSE since END
+  FROM (SELECT *, CASE WHEN dir > 0 THEN px <= hi2 - 3 ELSE px >= lo2 + 3 END AS turn FROM (SELECT q.event_id, q.user_id, q.rn, q.t, q.px, f.dir, f.el, f.since, CASE WHEN f.dir < 0 THEN least(f.lo, q.px) ELSE f.lo END AS lo2, CASE WHEN f.dir > 0 THEN greatest(f.hi, q.px) ELSE f.hi END AS hi2 FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1)))
+SELECT event_id, px * 5 AS px, dir, el * 5 AS el, {s6(perf="CASE WHEN el <> 0 THEN px / el - 1 ELSE 0 END")}, px - el AS perf2, CAST(t - since AS DOUBLE) AS dur FROM f"""
+
+_HW = []
+for _a, _b, _g in ((5, 20, 30), (10, 0, 30)):
+    _A, _B, _G = (0.0 if h == 0 else 1 - 0.5 ** (1 / h) for h in (_a, _b, _g))
+    _HW.append(f"""f{_a} AS (SELECT event_id, user_id, rn, x AS l, CAST(0 AS DOUBLE) AS b, list_transform(range(7), lambda i: CAST(1 AS DOUBLE)) AS s, x AS v FROM q WHERE rn = 1
+ UNION ALL SELECT event_id, user_id, rn, l2, b2, list_transform(range(7), lambda i: CASE WHEN i = slot THEN s2 ELSE s[i + 1] END), (l2 + b2) * s2 FROM
+ (SELECT *, greatest(0.05, least(20, {_G!r} * x / l2 + (1 - {_G!r}) * s[slot + 1])) AS s2 FROM (SELECT *, {_B!r} * (l2 - l) + (1 - {_B!r}) * b AS b2 FROM
+ (SELECT q.event_id, q.user_id, q.rn, q.x, q.slot, f.l, f.b, f.s, {_A!r} * q.x / f.s[q.slot + 1] + (1 - {_A!r}) * (f.l + f.b) AS l2 FROM f{_a} f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1))))""")
+ORACLES["holt_winters"] = f"""WITH RECURSIVE {E_SQL}, q AS (SELECT *, (epoch_us(ts) // 86400000000) % 7 AS slot FROM e), {", ".join(_HW)}
+SELECT f5.event_id, {s6(x_5x20x30x7_1="f5.v", x_10x0x30x7_1="f10.v")} FROM f5 JOIN f10 USING (event_id)"""
+ORACLES["holt_level"] = f"""WITH RECURSIVE {E_SQL}, f AS (SELECT event_id, user_id, rn, x AS s, CAST(0 AS DOUBLE) AS b FROM e WHERE rn = 1
+UNION ALL SELECT event_id, user_id, rn, n, 0.1 * (n - s) + 0.9 * b FROM (SELECT e.event_id, e.user_id, e.rn, f.s, f.b, 0.3 * e.x + 0.7 * (f.s + f.b) AS n FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
+SELECT event_id, {s6(v="s + b")} FROM f"""

@@ -58,29 +58,55 @@ def codes(df: DataFrame, name: str, out: str = "dscode") -> DataFrame:
     return df.join(names, name)
 
 
-#: Quote currencies in the order in which they are tried, and marks of leveraged tokens.
-QUOTES = ("USDT", "BUSD", "USDC", "TUSD", "BTC", "ETH", "BNB", "EUR")
+#: Quote currencies in the order in which they are tried, marks of leveraged tokens, and sort ids.
+QUOTES = ("FDUSD", "BUSD", "USDT", "USDC", "TUSD", "USD", "BNB", "ETH", "BTC", "BIDR", "PAX", "BRL", "EUR", "RUB", "TRY", "AUD", "GBP", "XRP", "NGN", "TRX")
 LEVERAGED = ("UP", "DOWN", "BULL", "BEAR")
+SORT_IDS = {"USDT": 1, "BTC": 2, "ETH": 3, "BUSD": 4, "BNB": 5, "USDC": 6, "TUSD": 7, "FDUSD": 8, "USD": 9}
+OTHER_ID, LEVERAGED_ID = 10, 12
 
 
-def split_symbol(symbol: Column) -> tuple[Column, Column, Column]:
-    """Base, quote and whether the base is a leveraged token."""
-    quote, base = F.lit(None).cast("string"), symbol
+def split_symbol(symbol: Column) -> tuple[Column, Column, Column, Column]:
+    """The quote currency, the ticker, the mark of a leveraged token (else empty) and the sort id of a symbol.
+
+    The first quote currency that ends the symbol counts, with a mark before it
+    if there is one. The ticker is the symbol without mark and quote, wherever
+    they stand in it. All four are null for a symbol of no known quote.
+    """
+    quote, mark = F.lit(None).cast("string"), F.lit(None).cast("string")
     for q in reversed(QUOTES):
-        quote = F.when(symbol.endswith(q), F.lit(q)).otherwise(quote)
-        base = F.when(symbol.endswith(q), F.substring(symbol, F.lit(1), F.length(symbol) - len(q))).otherwise(base)
-    marked = F.lit(False)
-    for m in LEVERAGED:
-        marked = marked | (base.endswith(m) & (F.length(base) > len(m)))
-    return base, quote, marked
+        marked = F.lit("")
+        for m in reversed(LEVERAGED):
+            marked = F.when(symbol.endswith(m + q), F.lit(m)).otherwise(marked)
+        quote, mark = F.when(symbol.endswith(q), F.lit(q)).otherwise(quote), F.when(symbol.endswith(q), marked).otherwise(mark)
+    sort_id = F.lit(OTHER_ID)
+    for q, i in SORT_IDS.items():
+        sort_id = F.when(quote == q, F.lit(i)).otherwise(sort_id)
+    sort_id = F.when(quote.isNotNull(), F.when(mark != "", F.lit(LEVERAGED_ID)).otherwise(sort_id))
+    return quote, F.replace(symbol, F.concat(mark, quote), F.lit("")), mark, sort_id
+
+
+#: The folder of each kind in the listings.
+KINDS = {"spot": "data/spot/monthly/klines/", "future_um": "data/futures/um/monthly/klines/", "future_cm": "data/futures/cm/monthly/klines/"}
+#: Sort id of symbols that have no known quote.
+UNKNOWN_ID = 100
+
+
+def universe(listing: DataFrame) -> DataFrame:
+    """Listed folders (``Prefix``) as instruments: kind, symbol without the marks of perpetual and dated contracts, its parts and sort id."""
+    name, kind = F.regexp_replace("Prefix", "/$", ""), F.lit(None).cast("string")
+    for k, folder in KINDS.items():
+        kind = F.when(F.col("Prefix").startswith(folder), F.lit(k)).otherwise(kind)
+        name = F.replace(name, F.lit(folder), F.lit(""))
+    out = listing.select("Prefix", kind.alias("kind"), name.alias("sym_original"))
+    dated = F.regexp_extract("sym_original", r"^(.*)_\d{6}", 1)
+    out = out.withColumn("sym", F.when(F.col("sym_original").rlike(r"_\d{6}"), dated).otherwise(F.col("sym_original")))
+    base, ticker, mark, sort_id = split_symbol(F.col("sym"))
+    return out.select("*", base.alias("base"), ticker.alias("ticker"), mark.alias("isupdown"), F.coalesce(sort_id, F.lit(UNKNOWN_ID)).alias("orderid"))
 
 
 def universe_xml(spark: SparkSession, path: str, row_tag: str = "CommonPrefixes") -> DataFrame:
-    """Listing files: the prefix with its kind and symbol."""
-    df = spark.read.format("xml").option("rowTag", row_tag).schema("Prefix string").load(path)
-    kind, symbol = F.regexp_extract("Prefix", r"data/([^/]+(?:/[^/]+)?)/", 1), F.regexp_extract("Prefix", r"/([A-Z0-9_]+)/?$", 1)
-    base, quote, marked = split_symbol(symbol)
-    return df.select("Prefix", kind.alias("kind"), symbol.alias("sym"), base.alias("base"), quote.alias("ticker"), marked.alias("isupdown"))
+    """Instruments of listing files."""
+    return universe(spark.read.format("xml").option("rowTag", row_tag).schema("Prefix string").load(path))
 
 
 def assets_json(spark: SparkSession, path: str) -> DataFrame:
@@ -101,6 +127,32 @@ def write_columns(df: DataFrame, path: str, keys: list[str], prefixes: tuple[str
     df.select(*keys, *[c for c in df.columns if c.startswith(prefixes) and c not in keys]).write.mode("overwrite").parquet(path)
 
 
+def should_query(ranges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted (token, query_date) that are not known to fail: not before the last failure ahead of the successes, nor after the first one behind them."""
+    out = wanted.join(ranges.select("token", "fails_until", "fails_from"), "token", "left")
+    known = F.coalesce(F.col("query_date") < F.col("fails_until"), F.lit(False)) | F.coalesce(F.col("query_date") > F.col("fails_from"), F.lit(False))
+    return out.where(~known).select(*wanted.columns)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """As CSV files with a header; an earlier result is replaced, so that a repeated run leaves one."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def name_hash(text: Column) -> Column:
+    """SHA-256 of a text in lowercase hex, to name models by what they were made from."""
+    return F.sha2(text.cast("string"), 256)
+
+
+#: Characters of a name that file names don't take, and what stands for each.
+_UNSAFE, _SAFE = " /:(),", "______"
+
+
+def file_name(text: Column) -> Column:
+    """A name as a file name."""
+    return F.translate(text, _UNSAFE, _SAFE)
+
+
 def shards(df: DataFrame, ts: str, days: int) -> DataFrame:
     """Add ``shard``, the number of the block of days, to partition training data by."""
     return df.withColumn("shard", F.floor(F.datediff(ts, F.lit("1970-01-01").cast("date")) / days).cast("int"))
