@@ -35,6 +35,10 @@ def scratch(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or _local_scratch()).rstrip("/")
 
 
+#: The setting of how many rows go to a Python worker at once, and its value while a table is written: whole texts are in them.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 class Tables:
     """Intermediate tables of one operator call, in the shared scratch folder.
 
@@ -50,7 +54,12 @@ class Tables:
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(BATCH, None)
+        self.spark.conf.set(BATCH, BATCH_ROWS)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(BATCH) if before is None else self.spark.conf.set(BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.made[path] = out
         return out

@@ -10,8 +10,8 @@ from .common import Tables
 
 #: Members of a bucket, besides its centre, up to which all its pairs are compared; each member then has so many partners at most.
 SMALL = 8
-#: Classes of tokens that are counted to order them from rare to common; the counts are so many rows at any size of the corpus.
-SLOTS = 1 << 20
+#: Classes of tokens that are counted to order them from rare to common; the counts, so many rows at any size of the corpus, are broadcast.
+SLOTS = 1 << 18
 #: Takes what rounding may add to a product out of a bound, so that no pair is lost to it.
 EPS = 1e-9
 

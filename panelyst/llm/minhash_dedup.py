@@ -16,10 +16,12 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from .components import EPS, SLOTS, components, owed, rare
+from .components import EPS, components, owed, rare
 
 WORDS = 5
 SIMILARITY = 0.8
+#: Classes of shingles that are counted to order them from rare to common; so many numbers, of four bytes, are sent to the tasks.
+SLOTS = 1 << 20
 BANDS, ROWS = 24, 4
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.r_[1.0, np.arange(1, 16)]))
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -150,8 +152,8 @@ def rarest(sets: DataFrame, similarity: float) -> DataFrame:
         yield pd.DataFrame({"slot": at.astype(np.int32), "n": total[at]})
 
     counted = sets.select("s").mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    often = np.zeros(SLOTS, np.int64)
-    often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    often = np.zeros(SLOTS, np.uint32)
+    often[counted["slot"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 2**32 - 1)
 
     def run(batches):
         for pdf in C.slices(batches):
