@@ -76,7 +76,7 @@ def prefix_length(n: Column, similarity: float) -> Column:
     return n - F.ceil(n * similarity - EPS).cast("int") + 1
 
 
-def rare(tokens: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def rare(tokens: DataFrame, roots: DataFrame, similarity: float, plausible=None, carried: list[str] = []) -> DataFrame:
     """All pairs (a, b) of different components that may have the similarity, by their sets' rarest tokens.
 
     ``tokens`` has, for each set (``node``, ``n`` its size), the tokens (``key``)
@@ -84,26 +84,30 @@ def rare(tokens: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     sets of the similarity share a token of both prefixes, are of alike size, and
     have enough tokens left behind it; so no similar pair is missed. In each
     token's bucket, members outside its largest component meet the others.
+    ``plausible`` makes a further condition of the ``carried`` columns of both
+    sides, that similar sets always or all but always meet.
     """
     rooted = tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rooted.groupBy("key", "root").agg(F.count("node").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "root")).alias("m"), F.count("root").alias("k")).where("k > 1").select("key", F.col("m")["root"].alias("main"))
     still = rooted.join(main, "key")
-    a = still.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("r").alias("pa"))
-    b = still.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("r").alias("pb"), "main")
+    a = still.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("r").alias("pa"), *[F.col(c).alias(f"{c}a") for c in carried])
+    b = still.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("r").alias("pb"), "main", *[F.col(c).alias(f"{c}b") for c in carried])
     fits = (F.col("nb") >= F.col("na") * similarity - EPS) & (F.col("na") >= F.col("nb") * similarity - EPS)
     fits &= 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - EPS
+    if plausible is not None:
+        fits &= plausible(*[[F.col(f"{c}{x}") for c in carried] for x in "ab"])
     met = a.join(b, "key").where("ra <> rb and (rb = main or a < b)").where(fits)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def ranked(sets: DataFrame, similarity: float) -> DataFrame:
-    """The prefix tokens (key, node, n, r) of sets (node, ``s`` array of distinct 64-bit tokens), rarest first.
+def ranked(sets: DataFrame, similarity: float, carried: list[str] = []) -> DataFrame:
+    """The prefix tokens (key, node, n, r and the carried columns) of sets (node, ``s`` array of distinct 64-bit tokens), rarest first.
 
     Tokens are ordered by how often their class occurs in all the sets, then by
     value. The classes' counts are broadcast: SLOTS rows at most.
     """
-    each = sets.repartition("node").select("node", F.size("s").alias("n"), F.explode("s").alias("key")).withColumn("slot", F.pmod("key", F.lit(SLOTS)).cast("int"))
+    each = sets.repartition("node").select("node", F.size("s").alias("n"), F.explode("s").alias("key"), *carried).withColumn("slot", F.pmod("key", F.lit(SLOTS)).cast("int"))
     counts = each.groupBy("slot").agg(F.count("key").alias("often"))
     order = W.partitionBy("node").orderBy("often", "key")
-    return each.join(F.broadcast(counts), "slot").withColumn("r", F.row_number().over(order)).where(F.col("r") <= prefix_length(F.col("n"), similarity)).select("key", "node", "n", "r")
+    return each.join(F.broadcast(counts), "slot").withColumn("r", F.row_number().over(order)).where(F.col("r") <= prefix_length(F.col("n"), similarity)).select("key", "node", "n", "r", *carried)

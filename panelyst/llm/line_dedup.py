@@ -48,7 +48,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
-    """The band keys of every distinct line, and a sketch: a byte of each coordinate, eight to a long.
+    """The band keys of every distinct line, its shingles in all its copies (often), and a sketch: a byte of each coordinate, eight to a long.
 
     The signature sees all shingles that the exact similarity sees. Each is
     mixed several times; the least and the greatest of the upper and of the
@@ -64,12 +64,12 @@ def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
     each = places.select("line", F.xxhash64(F.substring("u", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("h"))
     mixed = each.select("line", *[F.xxhash64("h", F.lit(b)).alias(f"v{b}") for b in range(bands)])
     halves = mixed.select("line", *[F.expr(e).alias(f"{n}{b}") for b in range(bands) for n, e in (("u", f"v{b} >> 32"), ("l", f"v{b} & 4294967295"))])
-    signed = halves.groupBy("line").agg(*[f(f"{n}{b}").alias(f"{f.__name__}_{n}{b}") for b in range(bands) for n in "ul" for f in (F.min, F.max)])
+    signed = halves.groupBy("line").agg(*[f(f"{n}{b}").alias(f"{f.__name__}_{n}{b}") for b in range(bands) for n in "ul" for f in (F.min, F.max)], F.count("line").alias("often"))
     kinds = [f"{f}_{n}" for n in "ul" for f in ("min", "max")]
     keys = [F.xxhash64(F.lit(shift * bands + b), *[f"{kind}{(b + shift * k) % bands}" for k, kind in enumerate(kinds)]) for shift in SHIFTS for b in range(bands)]
     places = [f"{kind}{b}" for b in range(bands) for kind in kinds]
     sketch = [reduce(Column.bitwiseOR, [F.shiftleft(F.xxhash64(c).bitwiseAND(255), 8 * k) for k, c in enumerate(places[at : at + 8])]) for at in range(0, len(places), 8)]
-    return signed.select("line", F.array(*keys).alias("keys"), *[s.alias(f"s{i}") for i, s in enumerate(sketch)])
+    return signed.select("line", "often", F.array(*keys).alias("keys"), *[s.alias(f"s{i}") for i, s in enumerate(sketch)])
 
 
 def agreements(a: list[Column], b: list[Column]) -> Column:
@@ -98,14 +98,17 @@ def shingle_set(norm: Column, shingle: int) -> Column:
 
 
 def buckets(signed: DataFrame, tables: C.Tables, bands: int) -> DataFrame:
-    """Lines (node) that share a band key with others, and the least line (center) of each key.
+    """Lines (node) that share a band key with others, and a center of each key: the line with most in its copies.
 
-    The bands are dealt out in two turns, so that only half of their rows are between tasks at a time.
+    Of lines that differ a little from one another that is likely the one that
+    they all come from. The bands are dealt out in two turns, so that only half
+    of their rows are between tasks at a time.
     """
-    ties, turns = W.partitionBy("key"), []
-    for at in (0, 1):
-        keyed = signed.select(F.col("line").alias("node"), F.explode(F.slice("keys", at * len(SHIFTS) * bands // 2 + 1, (1 + at) * len(SHIFTS) * bands // 2 - at * len(SHIFTS) * bands // 2)).alias("key"))
-        found = keyed.withColumn("center", F.min("node").over(ties)).withColumn("n", F.count("node").over(ties)).where("n > 1")
+    ties, turns = W.partitionBy("key").orderBy(F.desc("often"), "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing), []
+    n = len(SHIFTS) * bands
+    for start, stop in ((0, n // 2), (n // 2, n)):
+        keyed = signed.select(F.col("line").alias("node"), "often", F.explode(F.slice("keys", start + 1, stop - start)).alias("key"))
+        found = keyed.withColumn("center", F.first("node").over(ties)).withColumn("n", F.count("node").over(ties)).where("n > 1")
         turns.append(tables.cut(found.select("key", "node", "center"), "buckets"))
         C.release(signed.sparkSession)
     return turns[0].union(turns[1])
@@ -114,7 +117,7 @@ def buckets(signed: DataFrame, tables: C.Tables, bands: int) -> DataFrame:
 def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similarity: float) -> DataFrame:
     """Pairs of lines that connect the components of similar candidates.
 
-    Within a bucket, all lines are first compared with the bucket's least line.
+    Within a bucket, all lines are first compared with the bucket's centre.
     A bucket whose lines are then of one component is done, in rows in
     proportion to its size. The lines of the others owe each other a comparison:
     small buckets pay in pairs, lines of large ones are matched by their rarest
@@ -125,7 +128,7 @@ def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similari
     signed = tables.cut(signatures(found, shingle, bands), "signatures")
     C.release(spark)
     active = buckets(signed, tables, bands)
-    sketch = [c for c in signed.columns if c[0] == "s"]
+    sketch = [c for c in signed.columns if c not in ("line", "often", "keys")]
     shared = tables.cut(signed.select("line", *sketch).join(active.select(F.col("node").alias("line")).distinct(), "line"), "shared")
     tables.drop(signed)
     C.release(spark)
@@ -136,10 +139,13 @@ def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similari
     k = 4 * bands
     least = k * (similarity - 5 * (similarity * (1 - similarity) / k) ** 0.5)
 
+    def plausible(a: list[Column], b: list[Column]) -> Column:
+        return agreements(a, b) >= least
+
     def similar(pairs: DataFrame) -> DataFrame:
         for x in "ab":
             pairs = pairs.join(texts.select(F.col("line").alias(x), F.col("norm").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in sketch]), x)
-        near = pairs.where(agreements(*[[F.col(f"{c}{x}") for c in sketch] for x in "ab"]) >= least)
+        near = pairs.where(plausible(*[[F.col(f"{c}{x}") for c in sketch] for x in "ab"]))
         good = near.where(alike(shingle_set(F.col("na"), shingle), shingle_set(F.col("nb"), shingle), similarity))
         return tables.cut(good.select(line_id(F.col("na")).alias("a"), line_id(F.col("nb")).alias("b")), "links")
 
@@ -149,9 +155,9 @@ def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similari
     edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(pairs))
     crowd = tables.cut(crowd, "crowd")
     if not crowd.isEmpty():
-        sets = texts.join(crowd.withColumnRenamed("node", "line"), "line").select(F.col("line").alias("node"), shingle_set(F.col("norm"), shingle).alias("s"))
-        tokens = tables.cut(ranked(sets, similarity), "tokens")
-        edges = edges.union(similar(rare(tokens, known, similarity)))
+        sets = texts.join(crowd.withColumnRenamed("node", "line"), "line").select(F.col("line").alias("node"), shingle_set(F.col("norm"), shingle).alias("s"), *sketch)
+        tokens = tables.cut(ranked(sets, similarity, sketch), "tokens")
+        edges = edges.union(similar(rare(tokens, known, similarity, plausible, sketch)))
     C.release(spark)
     return edges
 
