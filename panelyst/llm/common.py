@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -29,10 +30,13 @@ def _local_scratch() -> str:
 def scratch(spark: SparkSession) -> str:
     """Folder for intermediate tables that every executor can reach.
 
-    It is the one in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder stands in.
+    It is the one in ``spark.checkpoint.dir``. Only where that is unset and all
+    of Spark is one process, as in tests, a temporary folder stands in.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local_scratch()).rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset; intermediate tables need a folder that all executors share")
+    return (folder or _local_scratch()).rstrip("/")
 
 
 #: The setting of how many rows go to a Python worker at once, and its value while a table is written: whole texts are in them.

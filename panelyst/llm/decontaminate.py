@@ -39,7 +39,7 @@ def build(items: list[tuple], window: int = WINDOW):
     for item, text in items:
         words = words_of(text)
         for i in range(max(1, len(words) - window + 1) if words else 0):
-            owners[tuple(words[i : i + window])].add(item)
+            owners[tuple(words[i : i + window])].update(() if item is None else (item,))
     if not owners:
         return None
     machine = ahocorasick.Automaton()
@@ -80,7 +80,7 @@ def blocks(bench: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The benchmark in hash parts of about ``block_bytes`` at most."""
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    return [bench] if n == 1 else [bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+    return [bench] if n == 1 else [bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
 def match(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -88,15 +88,17 @@ def match(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes:
 
     Null texts have no words and no hits; so have all documents under an empty
     benchmark. An item of fewer words than a window is one window; one without
-    words has none. Equal items are each reported. Documents are never shuffled.
+    words has none. Equal items are each reported; the windows of an item without
+    an id hit, but it is not among the items. Documents are never shuffled.
     """
-    spark, names = docs.sparkSession, ["_hit", "_items", "n_words", "n_hit", "items", "spans"]
+    spark, names = docs.sparkSession, ["n_words", "n_hit", "items", "spans"]
     out = docs.drop(*names)
+    bits, ids = C.free("_hit", out), C.free("_items", out)
     parts = blocks(bench.select("item_id", "text"), block_bytes)
-    carried = C.extended(out, "_hit binary, _items array<string>")
+    carried = C.extended(out, f"{bits} binary, {ids} array<string>")
     final = C.extended(out, "n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>")
     for k, part in enumerate(parts):
-        machine = spark.sparkContext.broadcast(build([(str(r[0]), r[1]) for r in part.collect()], window))
+        machine = spark.sparkContext.broadcast(build([(None if r[0] is None else str(r[0]), r[1]) for r in part.collect()], window))
 
         def run(batches, machine=machine, first=k == 0, last=k == len(parts) - 1):
             for pdf in C.slices(batches):
@@ -105,8 +107,8 @@ def match(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes:
                     words = words_of(text)
                     hit, items = scan(machine.value, words)
                     if not first:
-                        hit |= np.unpackbits(np.frombuffer(pdf["_hit"].iat[i], np.uint8), count=len(words)).astype(bool)
-                        items.update(pdf["_items"].iat[i])
+                        hit |= np.unpackbits(np.frombuffer(pdf[bits].iat[i], np.uint8), count=len(words)).astype(bool)
+                        items.update(pdf[ids].iat[i])
                     if last:
                         where.append([{"start": a, "stop": b} for a, b in spans(text, hit)])
                         counts.append(int(hit.sum()))
@@ -114,11 +116,11 @@ def match(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes:
                     else:
                         hits.append(np.packbits(hit).tobytes())
                     found.append(sorted(items))
-                pdf = pdf.drop(columns=[c for c in ("_hit", "_items") if c in pdf])
+                pdf = pdf.drop(columns=[c for c in (bits, ids) if c in pdf])
                 if last:
                     yield pdf.assign(n_words=np.array(total, np.int64), n_hit=np.array(counts, np.int64), items=pd.Series(found, pdf.index, dtype=object), spans=pd.Series(where, pdf.index, dtype=object))
                 else:
-                    yield pdf.assign(_hit=pd.Series(hits, pdf.index, dtype=object), _items=pd.Series(found, pdf.index, dtype=object))
+                    yield pdf.assign(**{bits: pd.Series(hits, pdf.index, dtype=object), ids: pd.Series(found, pdf.index, dtype=object)})
 
         out = out.mapInPandas(run, final if k == len(parts) - 1 else carried)
     return out

@@ -133,7 +133,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
 def identify(docs: DataFrame, model: Model | None, margin: float = 0.2) -> DataFrame:
     """Add ``lang_pred``, ``score`` and ``ambiguous`` to every row; one pass, no shuffle.
 
-    Null texts and texts without a letter give ``und`` with score 0. Ties go to
+    Null texts and texts without a letter give ``und`` with score 0, and without a
+    model (no labelled row) all texts do. Ties go to
     the first language in sort order and count as ambiguous. Other columns pass
     through; existing columns of the three names are replaced.
     """
@@ -158,6 +159,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents without an identifiable language; the rest stays as it is."""
-    columns = docs.columns
-    return identify(docs, train(docs)).where(F.col("lang_pred") != "und").select(*columns)
+    """Drop the documents of no language: without text or without a letter; the rest stays as it is.
+
+    Ambiguous documents stay, they are clean text of one language or another.
+    Where there is nothing to learn a language from, no document is dropped for that.
+    """
+    columns, model = docs.columns, train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return identify(docs, model).where(F.col("lang_pred") != "und").select(*columns)

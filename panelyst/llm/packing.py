@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
@@ -175,13 +176,15 @@ class Packer:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, limits: Limits = Limits()) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, limits: Limits = Limits(), loss: str | None = None) -> DataFrame:
     """One row per piece of every document: ``doc_id`` and the columns of ``PIECES``.
 
     Null texts count as empty and become the end id alone. Repeated rows are
     packed one by one. Each input partition is packed by itself, without a
     shuffle, and leaves no padding; sequence ids hold the partition number in
-    their upper bits. Every id bears loss. Other columns are not returned.
+    their upper bits. ``loss`` names a boolean column: the ids of its true rows
+    bear loss, such as the answers of a conversation whose turns are the rows;
+    without it every id does. Other columns are not returned.
     """
     schema = C.extended(docs.select("doc_id"), PIECES)
 
@@ -200,15 +203,16 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, limits: Limits = Limits())
             return out
 
         for pdf in C.slices(batches):
-            for key, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = enc.encode(text if isinstance(text, str) else "")
-                packer.add(key, np.append(ids, np.int32(END_ID)))
+            for key, text, *bears in zip(*(pdf[c] for c in pdf)):
+                ids = np.append(enc.encode(text if isinstance(text, str) else ""), np.int32(END_ID))
+                packer.add(key, ids, np.full(len(ids), bool(bears[0])) if bears else None)
                 if len(packer.rows) >= 20_000:
                     yield rows()
         packer.finish()
         yield rows()
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    bears = [] if loss is None else [F.coalesce(F.col(loss), F.lit(False)).alias("bears")]
+    return docs.select("doc_id", "text", *bears).mapInPandas(run, schema)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

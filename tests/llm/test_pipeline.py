@@ -40,6 +40,45 @@ def test_stages_in_order(spark):
     B.pieces_ok(after, [r.asDict() for r in kept.collect()], encoder())
 
 
+def test_run_is_its_stages(spark, tmp_path):
+    out = corpus_pipeline.run(spark, DATA)
+    kept = C.read(spark, DATA, "documents")
+    tables = C.Tables(spark, "test-run")
+    for name, stage in corpus_pipeline.STAGES:
+        kept = tables.cut(stage(spark, kept, DATA), name.replace(" ", "-"))
+    assert sorted(map(tuple, out.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, kept.select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+def test_components_of_long_chains(spark):
+    import numpy as np
+
+    n, rng = 5000, np.random.default_rng(3)
+    orders = {"rising": np.arange(n), "falling": np.arange(n)[::-1], "random": rng.permutation(n)}
+    edges = [(int(o[i]) + k * n, int(o[i + 1]) + k * n) for k, o in enumerate(orders.values()) for i in range(n - 1)]
+    tables = C.Tables(spark, "test-chains")
+    out = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), tables).collect()}
+    assert len(out) == 3 * n and all(root == node // n * n for node, root in out.items())
+    assert sum("chosen" in path for path in tables.made) <= 40  # rounds
+
+
+def test_rare_tokens_miss_no_similar_pair(spark):
+    """All pairs of 0.8 or more among sets that share most of their tokens, against brute force."""
+    import numpy as np
+    import pyspark.sql.functions as F
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**62, 60)
+    sets = []
+    for i in range(300):
+        own = base[rng.random(60) < rng.choice([0.7, 0.9, 0.97])]
+        sets.append(sorted({*map(int, own), *map(int, rng.integers(0, 2**62, rng.integers(0, 12)))}))
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "node long, s array<long>")
+    alone = df.select("node", F.col("node").alias("root"))
+    got = {(r.a, r.b) for r in components.rare(components.ranked(df, 0.8), alone, 0.8).collect()}
+    like = {(i, j) for i in range(300) for j in range(i + 1, 300) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
+    assert len(like) > 500 and like <= got
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, i) for i in range(101, 180)] + [(7, 7), (None, 3), (5, 6)]
     out = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), C.Tables(spark, "test-cc")).collect()}
