@@ -118,11 +118,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     parts = tables.cut(contents(base.join(marks.hint("merge"), keys), window, anchor), "segments")
     C.release(spark)
     distinct = parts.groupBy("anchor", "content").agg(F.min("doc_id").alias("lo"))
-    parsed = parse(distinct.repartition("anchor").sortWithinPartitions("anchor", "lo", "content"))
+    # from here on a content goes by 128 bits of hashes, which are shorter
+    names = ["anchor", F.xxhash64("content").alias("c1"), F.xxhash64(F.lit(5), "content").alias("c2")]
+    parsed = tables.cut(parse(distinct.repartition("anchor").sortWithinPartitions("anchor", "lo", "content")).select(*names, "lo", "mask"), "parsed")
+    C.release(spark)
     # later documents have all of a segment from the first one; the first has what the parse found
     mask = F.when(F.col("doc_id") > F.col("lo"), F.lit(None).cast("binary")).otherwise(F.col("mask"))
     spans = (
-        parts.join(parsed, ["anchor", "content"]).select(*keys, "first", (F.length("content") / 8).cast("int").alias("n"), mask.alias("mask"))
+        parts.select(*names, *keys, "first", (F.length("content") / 8).cast("int").alias("n"))
+        .join(parsed, ["anchor", "c1", "c2"]).select(*keys, "first", "n", mask.alias("mask"))
         .where("mask is null or position('01', hex(mask)) > 0")
         .groupBy(keys).agg(F.collect_list(F.struct("first", "n", "mask")).alias("found"))
     )
