@@ -718,3 +718,14 @@ SELECT f5.event_id, {s6(x_5x20x30x7_1="f5.v", x_10x0x30x7_1="f10.v")} FROM f5 JO
 ORACLES["holt_level"] = f"""WITH RECURSIVE {E_SQL}, f AS (SELECT event_id, user_id, rn, x AS s, CAST(0 AS DOUBLE) AS b FROM e WHERE rn = 1
 UNION ALL SELECT event_id, user_id, rn, n, 0.1 * (n - s) + 0.9 * b FROM (SELECT e.event_id, e.user_id, e.rn, f.s, f.b, 0.3 * e.x + 0.7 * (f.s + f.b) AS n FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
 SELECT event_id, {s6(v="s + b")} FROM f"""
+
+_PREP = f"""{BAR_SQL}, p0 AS (SELECT *, d AS ts, close * volume AS tv, coalesce(close - lag(close) {_BW}, 0) AS df FROM b), p1 AS (SELECT *, {gd('df', 'close')} AS tret FROM p0),
+{weighted('kt', 5, 'tv', 'p1')}, p2 AS (SELECT p1.*, kt.m1 AS tw FROM p1 JOIN kt USING (event_id)), {so_far('g', 'tret', [0.05, 0.95], 20, 'p2')}, {so_far('h', 'tw', [0.8], 20, 'p2')},
+p3 AS (SELECT p2.*, h.q0 AS top, coalesce(CASE WHEN tw < h.q0 THEN tw ELSE h.q0 END, 0) AS wgt, CASE WHEN tret < g.q0 THEN g.q0 WHEN tret > g.q1 THEN g.q1 ELSE tret END AS clip
+  FROM p2 JOIN g_n USING (event_id) LEFT JOIN g ON g.b = g_n.b LEFT JOIN h ON h.b = g_n.b)"""
+ORACLES["pipeline_prepare"] = f"WITH {_PREP} SELECT d, event_type, {s6(tret='tret', clip='clip', wgt='wgt', sigf_wgt='CASE WHEN top <> 0 THEN wgt / top END', age='least(rn, 20) / 20.0')} FROM p3"
+_UNIV = f"""{_PREP}, p4 AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY tw, event_type) - 1 AS r0, count(*) OVER (PARTITION BY d) AS nd FROM p3),
+p5 AS (SELECT * EXCLUDE (wgt), (CASE WHEN nd <= 1 THEN 0 ELSE nd - r0 END <= 3)::INT AS univ, wgt * (CASE WHEN nd <= 1 THEN 0 ELSE nd - r0 END <= 3)::INT AS wgt FROM p4)"""
+ORACLES["pipeline_universe"] = f"WITH {_UNIV} SELECT d, event_type, {s6(univ='univ', wgt='wgt')} FROM p5"
+ORACLES["pipeline_remove_market"] = f"""WITH {_UNIV}, p6 AS (SELECT *, tret - CASE WHEN sum(wgt) OVER (PARTITION BY d) > 0 THEN sum(wgt * tret) OVER (PARTITION BY d) / sum(wgt) OVER (PARTITION BY d) ELSE 0 END AS raw FROM p5), {so_far('x', 'raw', [0.02, 0.98], 20, 'p6')}
+SELECT d, event_type, {s6(v='CASE WHEN wgt = 0 THEN 0 ELSE univ * CASE WHEN raw < x.q0 THEN x.q0 WHEN raw > x.q1 THEN x.q1 ELSE raw END END')} FROM p6 JOIN x_n USING (event_id) LEFT JOIN x ON x.b = x_n.b"""
