@@ -350,3 +350,24 @@ def test_ledger_is_incremental(spark, odd, tmp_path):
     newer = tuple(secrets.Rule(r.kind, r.version + (r.kind == "hex"), r.pattern, r.group, r.least) for r in secrets.RULES)
     secrets.scan(odd, ledger, newer).collect()
     assert spark.read.parquet(ledger).where("kind = 'hex'").count() == 2 * spark.read.parquet(ledger).where("kind = 'access'").count()
+
+
+def test_spans_of_very_many_matches(spark, tmp_path):
+    """20,000 findings of one text, short matches between them that drop out, characters of several units before them."""
+    text = "\U0001f600é " + " ".join(f"{'0a' * (12 + i % 3)} beef password=abc{i % 10} passwd:{'k' * (5 + i % 3)}" for i in range(20_000))
+    rows = spark.createDataFrame([(1, text), (2, "none here")], "doc_id long, text string")
+    out = secrets.scan(rows, str(tmp_path / "ledger")).collect()
+    spans = {r.doc_id: [(s.start, s.kind, s.stop) for s in r.found] for r in out}
+    assert spans[2] == [] and len(spans[1]) == 20_000 + 13_333
+    named = B.sha(",".join(f"{k}:{a}:{b}" for a, k, b in spans[1]))
+    assert named == B.secrets(text)[3]
+
+
+def test_added_kinds_and_empty_tables(spark, tmp_path):
+    """Kinds beside the base ones have their spans; a table without rows has a result without rows and an empty ledger."""
+    parts = ["-----BEGIN RSA PRIVATE KEY-----", "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh_-1", "ghp_" + "A1b2" * 9]
+    text = "é\U0001f600 " + " | ".join(parts)
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secrets.scan(rows, str(tmp_path / "a")).first().found
+    assert [(s.kind, text[s.start : s.stop]) for s in found] == list(zip(("private_key", "web_token", "hosted_token"), parts))
+    assert secrets.scan(rows.limit(0), str(tmp_path / "b")).collect() == []
