@@ -48,14 +48,12 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
-    """The band keys of every distinct line, its shingles in all its copies (often), and a sketch: a byte of each coordinate, eight to a long.
+    """The coordinates of every distinct line, four bytes each, and its shingles in all its copies (often).
 
     The signature sees all shingles that the exact similarity sees. Each is
     mixed several times; the least and the greatest of the upper and of the
-    lower half of each mixed hash are four coordinates. Bands take four each, of
-    one mixed hash or of neighbouring ones, so that every coordinate is in as
-    many bands as there are ``SHIFTS``. They are aggregated where the lines are
-    read, so that repeated lines leave there as one row.
+    lower half of each mixed hash are four coordinates. They are aggregated
+    where the lines are read, so that repeated lines leave there as one row.
     """
     starts = lambda u: F.sequence(F.lit(0), F.greatest(F.octet_length(u) / 4 - shingle, F.lit(0)).cast("int"), F.lit(RUN))
     runs = lambda u: F.transform(starts(u), lambda i: F.substring(u, i * 4 + 1, F.lit(4 * (RUN + shingle - 1))))
@@ -63,13 +61,32 @@ def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
     places = cut.select("line", "u", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("u") / 4 - shingle, F.lit(0)).cast("int"))).alias("i"))
     each = places.select("line", F.xxhash64(F.substring("u", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("h"))
     mixed = each.select("line", *[F.xxhash64("h", F.lit(b)).alias(f"v{b}") for b in range(bands)])
-    halves = mixed.select("line", *[F.expr(e).alias(f"{n}{b}") for b in range(bands) for n, e in (("u", f"v{b} >> 32"), ("l", f"v{b} & 4294967295"))])
+    halves = mixed.select("line", *[F.expr(e).alias(f"{n}{b}") for b in range(bands) for n, e in (("u", f"v{b} >> 32"), ("l", f"(v{b} & 4294967295) - 2147483648"))])
     signed = halves.groupBy("line").agg(*[f(f"{n}{b}").alias(f"{f.__name__}_{n}{b}") for b in range(bands) for n in "ul" for f in (F.min, F.max)], F.count("line").alias("often"))
-    kinds = [f"{f}_{n}" for n in "ul" for f in ("min", "max")]
-    keys = [F.xxhash64(F.lit(shift * bands + b), *[f"{kind}{(b + shift * k) % bands}" for k, kind in enumerate(kinds)]) for shift in SHIFTS for b in range(bands)]
-    places = [f"{kind}{b}" for b in range(bands) for kind in kinds]
-    sketch = [reduce(Column.bitwiseOR, [F.shiftleft(F.xxhash64(c).bitwiseAND(255), 8 * k) for k, c in enumerate(places[at : at + 8])]) for at in range(0, len(places), 8)]
-    return signed.select("line", "often", F.array(*keys).alias("keys"), *[s.alias(f"s{i}") for i, s in enumerate(sketch)])
+    return signed.select("line", "often", *[F.col(c).cast("int").alias(c) for c in coordinates(bands)])
+
+
+KINDS = [f"{f}_{n}" for n in "ul" for f in ("min", "max")]
+
+
+def coordinates(bands: int) -> list[str]:
+    return [f"{kind}{b}" for b in range(bands) for kind in KINDS]
+
+
+def band_keys(bands: int) -> list[list[Column]]:
+    """The keys of the bands, by shift.
+
+    Bands take four coordinates each, of one mixed hash or of neighbouring ones,
+    so that every coordinate is in as many bands as there are ``SHIFTS``.
+    """
+    return [[F.xxhash64(F.lit(shift * bands + b), *[f"{kind}{(b + shift * k) % bands}" for k, kind in enumerate(KINDS)]) for b in range(bands)] for shift in SHIFTS]
+
+
+def sketches(bands: int) -> dict[str, Column]:
+    """A byte of each coordinate, eight to a long."""
+    places = coordinates(bands)
+    byte = lambda c, k: F.shiftleft(F.xxhash64(c).bitwiseAND(255), 8 * k)
+    return {f"s{at // 8}": reduce(Column.bitwiseOR, [byte(c, k) for k, c in enumerate(places[at : at + 8])]) for at in range(0, len(places), 8)}
 
 
 def agreements(a: list[Column], b: list[Column]) -> Column:
@@ -101,17 +118,16 @@ def buckets(signed: DataFrame, tables: C.Tables, bands: int) -> DataFrame:
     """Lines (node) that share a band key with others, and a center of each key: the line with most in its copies.
 
     Of lines that differ a little from one another that is likely the one that
-    they all come from. The bands are dealt out in two turns, so that only half
-    of their rows are between tasks at a time.
+    they all come from. The bands are dealt out in one turn a shift, so that only
+    a part of their rows is between tasks at a time.
     """
     ties, turns = W.partitionBy("key").orderBy(F.desc("often"), "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing), []
-    n = len(SHIFTS) * bands
-    for start, stop in ((0, n // 2), (n // 2, n)):
-        keyed = signed.select(F.col("line").alias("node"), "often", F.explode(F.slice("keys", start + 1, stop - start)).alias("key"))
+    for keys in band_keys(bands):
+        keyed = signed.select(F.col("line").alias("node"), "often", F.explode(F.array(*keys)).alias("key"))
         found = keyed.withColumn("center", F.first("node").over(ties)).withColumn("n", F.count("node").over(ties)).where("n > 1")
         turns.append(tables.cut(found.select("key", "node", "center"), "buckets"))
         C.release(signed.sparkSession)
-    return turns[0].union(turns[1])
+    return reduce(DataFrame.union, turns)
 
 
 def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similarity: float) -> DataFrame:
@@ -128,8 +144,8 @@ def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similari
     signed = tables.cut(signatures(found, shingle, bands), "signatures")
     C.release(spark)
     active = buckets(signed, tables, bands)
-    sketch = [c for c in signed.columns if c not in ("line", "often", "keys")]
-    shared = tables.cut(signed.select("line", *sketch).join(active.select(F.col("node").alias("line")).distinct(), "line"), "shared")
+    sketch = [*sketches(bands)]
+    shared = tables.cut(signed.select("line", *[c.alias(n) for n, c in sketches(bands).items()]).join(active.select(F.col("node").alias("line")).distinct(), "line"), "shared")
     tables.drop(signed)
     C.release(spark)
     texts = found.select(F.xxhash64("norm").alias("line"), "norm").join(shared.hint("merge"), "line").distinct()  # the same plan at every size
