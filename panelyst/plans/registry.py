@@ -708,24 +708,98 @@ SELECT event_id, px * 5 AS px, dir, el * 5 AS el, {s6(perf="CASE WHEN el <> 0 TH
 
 _HW = []
 for _a, _b, _g in ((5, 20, 30), (10, 0, 30)):
-    _A, _B, _G = (0.0 if h == 0 else 1 - 0.5 ** (1 / h) for h in (_a, _b, _g))
+    _LEVEL, _TREND, _SEASON = (0.0 if h == 0 else 1 - 0.5 ** (1 / h) for h in (_a, _b, _g))
     _HW.append(f"""f{_a} AS (SELECT event_id, user_id, rn, x AS l, CAST(0 AS DOUBLE) AS b, list_transform(range(7), lambda i: CAST(1 AS DOUBLE)) AS s, x AS v FROM q WHERE rn = 1
  UNION ALL SELECT event_id, user_id, rn, l2, b2, list_transform(range(7), lambda i: CASE WHEN i = slot THEN s2 ELSE s[i + 1] END), (l2 + b2) * s2 FROM
- (SELECT *, greatest(0.05, least(20, {_G!r} * x / l2 + (1 - {_G!r}) * s[slot + 1])) AS s2 FROM (SELECT *, {_B!r} * (l2 - l) + (1 - {_B!r}) * b AS b2 FROM
- (SELECT q.event_id, q.user_id, q.rn, q.x, q.slot, f.l, f.b, f.s, {_A!r} * q.x / f.s[q.slot + 1] + (1 - {_A!r}) * (f.l + f.b) AS l2 FROM f{_a} f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1))))""")
+ (SELECT *, greatest(0.05, least(20, {_SEASON!r} * x / l2 + (1 - {_SEASON!r}) * s[slot + 1])) AS s2 FROM (SELECT *, {_TREND!r} * (l2 - l) + (1 - {_TREND!r}) * b AS b2 FROM
+ (SELECT q.event_id, q.user_id, q.rn, q.x, q.slot, f.l, f.b, f.s, {_LEVEL!r} * q.x / f.s[q.slot + 1] + (1 - {_LEVEL!r}) * (f.l + f.b) AS l2 FROM f{_a} f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1))))""")
 ORACLES["holt_winters"] = f"""WITH RECURSIVE {E_SQL}, q AS (SELECT *, (epoch_us(ts) // 86400000000) % 7 AS slot FROM e), {", ".join(_HW)}
 SELECT f5.event_id, {s6(x_5x20x30x7_1="f5.v", x_10x0x30x7_1="f10.v")} FROM f5 JOIN f10 USING (event_id)"""
 ORACLES["holt_level"] = f"""WITH RECURSIVE {E_SQL}, f AS (SELECT event_id, user_id, rn, x AS s, CAST(0 AS DOUBLE) AS b FROM e WHERE rn = 1
 UNION ALL SELECT event_id, user_id, rn, n, 0.1 * (n - s) + 0.9 * b FROM (SELECT e.event_id, e.user_id, e.rn, f.s, f.b, 0.3 * e.x + 0.7 * (f.s + f.b) AS n FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
 SELECT event_id, {s6(v="s + b")} FROM f"""
 
-_PREP = f"""{BAR_SQL}, p0 AS (SELECT *, d AS ts, close * volume AS tv, coalesce(close - lag(close) {_BW}, 0) AS df FROM b), p1 AS (SELECT *, {gd('df', 'close')} AS tret FROM p0),
-{weighted('kt', 5, 'tv', 'p1')}, p2 AS (SELECT p1.*, kt.m1 AS tw FROM p1 JOIN kt USING (event_id)), {so_far('g', 'tret', [0.05, 0.95], 20, 'p2')}, {so_far('h', 'tw', [0.8], 20, 'p2')},
+def prepared(smooth: float, near: float) -> str:
+    """CTEs up to p3: the prepared bars with the half-life of their turnover, and the one that ranks it (uw)."""
+    return f"""{BAR_SQL}, p0 AS (SELECT *, d AS ts, close * volume AS tv, coalesce(close - lag(close) {_BW}, 0) AS df FROM b), p1 AS (SELECT *, {gd('df', 'close')} AS tret FROM p0),
+{weighted('kt', smooth, 'tv', 'p1')}, {weighted('ku', near, 'tv', 'p1')}, p2 AS (SELECT p1.*, kt.m1 AS tw, ku.m1 AS uw FROM p1 JOIN kt USING (event_id) JOIN ku USING (event_id)), {so_far('g', 'tret', [0.05, 0.95], 20, 'p2')}, {so_far('h', 'tw', [0.8], 20, 'p2')},
 p3 AS (SELECT p2.*, h.q0 AS top, coalesce(CASE WHEN tw < h.q0 THEN tw ELSE h.q0 END, 0) AS wgt, CASE WHEN tret < g.q0 THEN g.q0 WHEN tret > g.q1 THEN g.q1 ELSE tret END AS clip
   FROM p2 JOIN g_n USING (event_id) LEFT JOIN g ON g.b = g_n.b LEFT JOIN h ON h.b = g_n.b)"""
-ORACLES["pipeline_prepare"] = f"WITH {_PREP} SELECT d, event_type, {s6(tret='tret', clip='clip', wgt='wgt', sigf_wgt='CASE WHEN top <> 0 THEN wgt / top END', age='least(rn, 20) / 20.0')} FROM p3"
-_UNIV = f"""{_PREP}, p4 AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY tw, event_type) - 1 AS r0, count(*) OVER (PARTITION BY d) AS nd FROM p3),
+
+
+ORACLES["pipeline_prepare"] = f"WITH {prepared(5, 5)} SELECT d, event_type, {s6(tret='tret', clip='clip', wgt='wgt', sigf_wgt='CASE WHEN top <> 0 THEN wgt / top END', age='least(rn, 20) / 20.0')} FROM p3"
+
+
+def universe(smooth: float, near: float) -> str:
+    return f"""{prepared(smooth, near)}, p4 AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY uw, event_type) - 1 AS r0, count(*) OVER (PARTITION BY d) AS nd FROM p3),
 p5 AS (SELECT * EXCLUDE (wgt), (CASE WHEN nd <= 1 THEN 0 ELSE nd - r0 END <= 3)::INT AS univ, wgt * (CASE WHEN nd <= 1 THEN 0 ELSE nd - r0 END <= 3)::INT AS wgt FROM p4)"""
+
+
+_UNIV = universe(5, 5)
 ORACLES["pipeline_universe"] = f"WITH {_UNIV} SELECT d, event_type, {s6(univ='univ', wgt='wgt')} FROM p5"
 ORACLES["pipeline_remove_market"] = f"""WITH {_UNIV}, p6 AS (SELECT *, tret - CASE WHEN sum(wgt) OVER (PARTITION BY d) > 0 THEN sum(wgt * tret) OVER (PARTITION BY d) / sum(wgt) OVER (PARTITION BY d) ELSE 0 END AS raw FROM p5), {so_far('x', 'raw', [0.02, 0.98], 20, 'p6')}
 SELECT d, event_type, {s6(v='CASE WHEN wgt = 0 THEN 0 ELSE univ * CASE WHEN raw < x.q0 THEN x.q0 WHEN raw > x.q1 THEN x.q1 ELSE raw END END')} FROM p6 JOIN x_n USING (event_id) LEFT JOIN x ON x.b = x_n.b"""
+
+
+def less_market(x: str) -> str:
+    """A value less its weighted mean at the time, in and weighted by the universe."""
+    total = f"sum(CASE WHEN {x} IS NOT NULL THEN wgt END) OVER (PARTITION BY d)"
+    return f"({x} - CASE WHEN {total} > 0 THEN sum(wgt * {x}) OVER (PARTITION BY d) / {total} ELSE 0 END)"
+
+
+def held(x: str, q: str) -> str:
+    return f"CASE WHEN {x} < {q}.q0 THEN {q}.q0 WHEN {x} > {q}.q1 THEN {q}.q1 ELSE {x} END"
+
+
+def reversion(name: str, src: str, col: str, halves: list[int]) -> str:
+    """CTE of minus the mean over half-lives of the smoothed value over its deviation, scaled at each time."""
+    ks = [f"{name}_k{h}" for h in halves]
+    sd = " + ".join(f"CASE WHEN s.rn = 1 THEN 0 ELSE sqrt(greatest({k}.m2 - {k}.m1 * {k}.m1, 0)) END" for k in ks)
+    zs = ", ".join(f"{cl(gd(f'{k} * sqrt({h}.0)', 'sd'))} AS z{h}" for k, h in zip(ks, halves))
+    var = lambda z: f"(sum({z} * {z}) OVER w / count({z}) OVER w - pow(sum({z}) OVER w / count({z}) OVER w, 2)) * count({z}) OVER w / (count({z}) OVER w - 1)"
+    devs = ", ".join(f"CASE WHEN count(z{h}) OVER w >= 2 THEN sqrt(greatest({var(f'z{h}')}, 0)) ELSE 0 END AS d{h}" for h in halves)
+    mean = " + ".join(f"coalesce({cl(gd(f'z{h}', f'd{h}'))}, 0)" for h in halves)
+    return f"""{", ".join(weighted(k, h, col, src) for k, h in zip(ks, halves))},
+ {name}_s AS (SELECT s.event_id, s.d, {", ".join(f"{k}.m1 AS {k}" for k in ks)}, ({sd}) / {len(halves)} AS sd FROM {src} s {" ".join(f"JOIN {k} USING (event_id)" for k in ks)}),
+ {name}_z AS (SELECT event_id, d, {zs} FROM {name}_s), {name}_d AS (SELECT *, {devs} FROM {name}_z WINDOW w AS (PARTITION BY d)),
+ {name} AS (SELECT event_id, -{cl(f"({mean}) / {len(halves)}")} AS v FROM {name}_d)"""
+
+
+ORACLES["pipeline_mean_reversion"] = f"WITH {BAR_SQL}, {reversion('mr', 'b', 'close', [3, 8])} SELECT d, event_type, {s6(v='mr.v')} FROM b JOIN mr USING (event_id)"
+
+_AHEAD = f"""f0 AS (SELECT *, avg(tret) OVER (PARTITION BY event_type ORDER BY d ROWS 2 PRECEDING) AS sm FROM p5), f1 AS (SELECT *, lead(tret) {_BW} AS a1, lead(sm, 3) {_BW} AS a3 FROM f0),
+ f2 AS (SELECT *, CASE WHEN wgt = 0 THEN 0 ELSE univ * {less_market('a1')} END AS fh1, CASE WHEN wgt = 0 THEN 0 ELSE univ * {less_market('a3')} END AS fh3 FROM f1)"""
+ORACLES["pipeline_forward"] = f"""WITH {_UNIV}, {_AHEAD}, {so_far('x', 'fh1', [0.03, 0.97], 20, 'f2')}, {so_far('y', 'fh3', [0.03, 0.97], 20, 'f2')}
+SELECT d, event_type, {s6(f1='fh1', f3='fh3', c1=held('fh1', 'x'), c3=held('fh3', 'y'))} FROM f2 JOIN x_n USING (event_id) LEFT JOIN x ON x.b = x_n.b LEFT JOIN y ON y.b = x_n.b"""
+
+ORACLES["pipeline_research"] = f"""WITH {universe(43_200, 60)}, p6 AS (SELECT *, {less_market('tret')} AS raw FROM p5), {so_far('x', 'raw', [0.02, 0.98], 20, 'p6')},
+ p7 AS (SELECT p6.*, CASE WHEN wgt = 0 THEN 0 ELSE univ * {held('raw', 'x')} END AS xm FROM p6 JOIN x_n USING (event_id) LEFT JOIN x ON x.b = x_n.b), {reversion('mr', 'p7', 'xm', [5, 10])}, {_AHEAD},
+ po AS (SELECT f2.event_type, f2.d AS date, f2.fh1, coalesce(mr.v * f2.univ, 0) * coalesce(f2.wgt, 1) AS s FROM f2 JOIN mr USING (event_id)), tr AS (SELECT *, abs(s - lag(s) OVER (PARTITION BY event_type ORDER BY date)) AS t FROM po),
+ dy AS (SELECT date, coalesce(sum(s * fh1), 0) AS gross, coalesce(sum(t), 0) AS traded, sum(abs(s)) AS gmv FROM tr GROUP BY 1),
+ c AS (SELECT *, sum(gross) OVER (ORDER BY date) AS cum, date - lag(date) OVER (ORDER BY date) AS gap FROM dy), q AS (SELECT *, max(cum) OVER (ORDER BY date) - cum AS dd FROM c)
+SELECT 'sig_none' AS signal, count(*) AS n, {s6(sr='sqrt(365 / median(gap)) * avg(gross) / (stddev_samp(gross) + 1e-6)', ann_pnl='avg(gross) * 365 / median(gap) / 1e3', mdd='100 * ' + gd('max(dd)', 'avg(gmv)'), rpt='1e4 * ' + gd('sum(gross)', 'sum(traded)'), rog='1e2 * ' + gd('sum(gross)', 'avg(gmv)'))} FROM q HAVING count(*) >= 10"""
+
+ORACLES["pipeline_point_figure"] = f"""WITH RECURSIVE {_UNIV}, lp AS (SELECT event_id, event_type, d, rn, CASE WHEN 1 + tret > 0 THEN ln(1 + tret) END AS lg FROM p5),
+ q AS (SELECT event_id, event_type, d, rn, epoch_us(d) AS t, floor((1 + coalesce(sum(lg) OVER (PARTITION BY event_type ORDER BY d ROWS UNBOUNDED PRECEDING), 0)) / 0.5) AS box FROM lp),
+ f AS (SELECT event_id, event_type, d, rn, t, CAST(1 AS DOUBLE) AS dir, box AS ext, t AS since FROM q WHERE rn = 1
+ UNION ALL SELECT event_id, event_type, d, rn, t, CASE WHEN turn THEN -dir ELSE dir END, CASE WHEN turn THEN box ELSE ext2 END, CASE WHEN turn THEN t ELSE since END FROM (SELECT *, dir * (ext2 - box) >= 2 AS turn FROM
+ (SELECT q.*, f.dir, f.since, CASE WHEN f.dir > 0 THEN greatest(f.ext, q.box) ELSE least(f.ext, q.box) END AS ext2 FROM f JOIN q ON q.event_type = f.event_type AND q.rn = f.rn + 1))),
+ pg AS (SELECT *, event_type AS user_id, coalesce(sign(abs(dir - lag(dir) {_BW})), 0) AS chg FROM f), {weighted('kc', 4, 'chg', 'pg')}
+SELECT d, event_type, {s6(dir='dir', dur='t - since', turns='kc.m1')} FROM pg JOIN kc USING (event_id)"""
+
+
+def picked(order: str) -> str:
+    """CTEs of the pairs that a greedy pass in this order takes, each code once a time."""
+    return f"""rk AS (SELECT dtsi, dscode1, dscode2, dist, row_number() OVER (PARTITION BY dtsi ORDER BY {order}, dscode1, dscode2) AS i FROM pd),
+ gr AS (SELECT DISTINCT dtsi, '' AS dscode1, '' AS dscode2, CAST(0 AS DOUBLE) AS dist, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, FALSE AS kept FROM rk
+ UNION ALL SELECT dtsi, dscode1, dscode2, dist, i, CASE WHEN free THEN list_concat(used, [dscode1, dscode2]) ELSE used END, free FROM
+ (SELECT rk.*, gr.used, NOT list_contains(gr.used, rk.dscode1) AND NOT list_contains(gr.used, rk.dscode2) AS free FROM gr JOIN rk ON rk.dtsi = gr.dtsi AND rk.i = gr.i + 1))"""
+
+
+ORACLES["pick_pairs"] = f"WITH RECURSIVE {_G}, {picked('dist')} SELECT dtsi, dscode1, dscode2, {s6(dist='dist')} FROM gr WHERE kept"
+ORACLES["pipeline_pairs"] = f"""WITH RECURSIVE {_G}, {picked('1 - coalesce(dist, 0)')}, {_CHOSEN.replace('FROM pd WHERE dist > 0', 'FROM gr WHERE kept')},
+ lg AS (SELECT d, dscode1 AS c, coalesce(serie1, 0) - coalesce(serie2, 0) AS v FROM px UNION ALL SELECT d, dscode2, coalesce(serie2, 0) - coalesce(serie1, 0) FROM px), cp AS (SELECT d, c AS event_type, avg(v) AS v FROM lg GROUP BY 1, 2)
+SELECT o.d, o.event_type, {s6(v='coalesce(cp.v, 0)')} FROM o LEFT JOIN cp USING (d, event_type)"""
+ORACLES["time_splits"] = f"""WITH {E_SQL}, s AS (SELECT epoch_us(d) AS t FROM (SELECT DISTINCT d FROM e)), g AS (SELECT min(t) AS lo, max(t) AS hi, median(step) AS u FROM (SELECT t, t - lag(t) OVER (ORDER BY t) AS step FROM s)),
+ n AS (SELECT lo, hi, u, lo + (7 + 5 * unnest(range(0, CAST((hi - lo) / (5 * u) AS BIGINT) + 1))) * u AS stop FROM g), p AS (SELECT CAST(greatest(lo, stop - 10 * u) AS DOUBLE) AS train_start, CAST(stop AS DOUBLE) AS train_end, CAST(stop + u AS DOUBLE) AS test_start, CAST(least(hi, stop + 6 * u) AS DOUBLE) AS test_end FROM n WHERE stop + u < hi)
+SELECT * FROM p UNION ALL SELECT 0, 0, 0, 0 WHERE NOT EXISTS (FROM p)"""
