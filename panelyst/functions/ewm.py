@@ -32,21 +32,41 @@ def ewm_std(x: Column, halflife: float, p: Panel) -> Column:
     return F.sqrt(F.greatest(ewm(x * x, halflife, p) - m * m, F.lit(0.0)))
 
 
+def _product(a: Column, b: Column) -> tuple[Column, Column]:
+    """a * b and what its rounding took away (Dekker's product)."""
+    p = a * b
+    (ah, al), (bh, bl) = ((c - (c - v), v - (c - (c - v))) for v, c in ((a, a * 134217729.0), (b, b * 134217729.0)))
+    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+
+def power(x: Column, n: int) -> Column:
+    """x to the power of 1 to 4, rounded once, as a library's pow rounds it.
+
+    Products rounded step by step differ from that in the last bit; moments of
+    nearly equal values cancel so far that this bit becomes visible.
+    """
+
+    def once(v: Column) -> Column:
+        p2, e2 = _product(v, v)
+        if n == 2:
+            return p2
+        p, e = _product(p2, v if n == 3 else p2)
+        return F.nanvl(p + (e + e2 * v if n == 3 else e + 2 * p2 * e2), p)  # beyond the range of doubles: p alone
+
+    return x if n == 1 else F.transform(F.array(x), once)[0]
+
+
 def _moments(x: Column, halflife: float, p: Panel, n: int) -> list[Column]:
-    power, out = x, []
-    for _ in range(n):
-        out.append(ewm_recursive(power, halflife, p))
-        power = power * x
-    return out
+    return [ewm_recursive(power(x, i), halflife, p) for i in range(1, n + 1)]
 
 
 def ewm_skew(x: Column, halflife: float, p: Panel) -> Column:
     m1, m2, m3 = _moments(x, halflife, p, 3)
     v = m2 - m1 * m1
-    return F.when(v > 1e-9, (m3 - 3 * m2 * m1 + 2 * m1 * m1 * m1) / F.pow(v, 1.5)).when(x.isNotNull(), 0.0)
+    return F.when(v > 1e-9, (m3 - 3 * m2 * m1 + 2 * power(m1, 3)) / F.pow(v, 1.5)).when(x.isNotNull(), 0.0)
 
 
 def ewm_kurt(x: Column, halflife: float, p: Panel) -> Column:
     m1, m2, m3, m4 = _moments(x, halflife, p, 4)
     v = m2 - m1 * m1
-    return F.when(v > 1e-14, (m4 - 4 * m3 * m1 + 6 * m2 * m1 * m1 - 3 * m1 * m1 * m1 * m1) / (v * v) - 3).when(x.isNotNull(), 0.0)
+    return F.when(v > 1e-14, (m4 - 4 * m3 * m1 + 6 * m2 * m1 * m1 - 3 * power(m1, 4)) / (v * v) - 3).when(x.isNotNull(), 0.0)
