@@ -6,10 +6,12 @@ import gc
 import re
 import tempfile
 import uuid
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
 import pyspark.sql.functions as F
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -80,9 +82,29 @@ class Tables:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps; it does so when the driver collects garbage."""
+    """Let Spark delete the shuffle files of finished steps; it does so when the driver collects garbage.
+
+    The driver's memory outside its heap goes back to the system as well: what
+    planning and compiling have freed there stays with the C library's allocator
+    otherwise, and adds up over the many plans of a pipeline.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """The JVM's own command for it (jcmd's System.trim_native_heap); a JVM or system without it is left alone."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    kinds = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    types = gateway.new_array(jvm.java.lang.Class, len(kinds))
+    for k, kind in enumerate(kinds):
+        types[k] = jvm.java.lang.Class.forName(kind)
+    given = gateway.new_array(jvm.java.lang.Object, len(kinds))
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    with suppress(Py4JJavaError):
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()  # its class is hidden, its interface is not
+        jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, given)
 
 
 def free(name: str, *frames: DataFrame) -> str:

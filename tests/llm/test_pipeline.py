@@ -83,3 +83,20 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, i) for i in range(101, 180)] + [(7, 7), (None, 3), (5, 6)]
     out = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), C.Tables(spark, "test-cc")).collect()}
     assert all(out[i] == i // 20 * 20 for i in range(60)) and all(out[i] == 100 for i in range(100, 180))
+
+
+def test_release_gives_memory_outside_the_heap_back(spark):
+    """What the driver has freed outside its heap does not stay with its process."""
+    import re
+    from pathlib import Path
+
+    status, heap = Path(f"/proc/{spark.sparkContext._gateway.proc.pid}/smaps_rollup"), spark._jvm.System.gc
+    used = lambda: int(re.search(r"\nRss:\s+(\d+)", status.read_text())[1]) / 1024
+    made = [spark._jvm.java.util.zip.Deflater() for _ in range(1000)]
+    for d in made[:-1]:
+        d.end()
+    for _ in range(3):  # what collecting garbage gives back is not counted
+        heap()
+    before = used()
+    C.release(spark)
+    assert before - used() > 40
