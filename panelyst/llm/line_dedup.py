@@ -1,7 +1,8 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines become sets of character shingles. A signature takes the least and the
-greatest of several hashes of a line's shingles, each of which agrees for two
+Lines become sets of character shingles. A signature deals all of a line's
+shingles out to a few bins by one hash (one-permutation MinHash) and takes the
+least and the greatest of two hashes in each, every one of which agrees for two
 lines with the probability of their Jaccard similarity. Bands of
 coordinates give candidate pairs, the exact Jaccard similarity of the shingle
 sets decides, and union-find joins the accepted pairs; of each component the
@@ -21,8 +22,8 @@ from .components import components, owed, ranked, rare
 
 #: Characters of a shingle, for the similarity and for the signature.
 SHINGLE = 8
-#: Hashes of a shingle, and bands for each of the SHIFTS.
-BANDS, SHIFTS = 8, (0, 1, 3)
+#: Bins of shingles, and bands for each of the SHIFTS: with these, a band's four coordinates are of four bins.
+BANDS, SHIFTS = 8, (1, 2, 3)
 SIMILARITY = 0.8
 #: Shingles cut from one slice of a line, so that a long line is not carried along with each of its shingles.
 RUN = 64
@@ -50,9 +51,10 @@ def lines(docs: DataFrame) -> DataFrame:
 def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
     """The coordinates of every distinct line, four bytes each, and its shingles in all its copies (often).
 
-    The signature sees all shingles that the exact similarity sees. Each is
-    mixed several times; the least and the greatest of the upper and of the
-    lower half of each mixed hash are four coordinates. They are aggregated
+    The signature sees all shingles that the exact similarity sees. One hash
+    deals them out to bins; the least and the greatest of its upper and of its
+    lower half in each bin are four coordinates. Those of an empty bin are null,
+    which agrees with null: then both sets have nothing there. They are aggregated
     where the lines are read, so that repeated lines leave there as one row.
     """
     starts = lambda u: F.sequence(F.lit(0), F.greatest(F.octet_length(u) / 4 - shingle, F.lit(0)).cast("int"), F.lit(RUN))
@@ -60,9 +62,9 @@ def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
     cut = found.select(F.xxhash64("norm").alias("line"), F.explode(F.transform(F.array(F.encode("norm", "UTF-32")), runs)[0]).alias("u"))
     places = cut.select("line", "u", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("u") / 4 - shingle, F.lit(0)).cast("int"))).alias("i"))
     each = places.select("line", F.xxhash64(F.substring("u", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("h"))
-    mixed = each.select("line", *[F.xxhash64("h", F.lit(b)).alias(f"v{b}") for b in range(bands)])
-    halves = mixed.select("line", *[F.expr(e).alias(f"{n}{b}") for b in range(bands) for n, e in (("u", f"v{b} >> 32"), ("l", f"(v{b} & 4294967295) - 2147483648"))])
-    signed = halves.groupBy("line").agg(*[f(f"{n}{b}").alias(f"{f.__name__}_{n}{b}") for b in range(bands) for n in "ul" for f in (F.min, F.max)], F.count("line").alias("often"))
+    halves = each.select("line", F.expr("h >> 32").alias("u"), F.expr("(h & 4294967295) - 2147483648").alias("l"), F.pmod(F.shiftright("h", 32), F.lit(bands)).cast("int").alias("bin"))
+    of_bin = lambda c, b: F.expr(f"{c.replace('_', '(')}) filter (where bin = {b})")
+    signed = halves.groupBy("line").agg(*[of_bin(kind, b).alias(f"{kind}{b}") for b in range(bands) for kind in KINDS], F.count("line").alias("often"))
     return signed.select("line", "often", *[F.col(c).cast("int").alias(c) for c in coordinates(bands)])
 
 
@@ -76,10 +78,16 @@ def coordinates(bands: int) -> list[str]:
 def band_keys(bands: int) -> list[list[Column]]:
     """The keys of the bands, by shift.
 
-    Bands take four coordinates each, of one mixed hash or of neighbouring ones,
-    so that every coordinate is in as many bands as there are ``SHIFTS``.
+    Bands take four coordinates each, one of every kind and of bins a shift apart,
+    so that every coordinate is in as many bands as there are ``SHIFTS``. The key
+    of a band of empty bins only is null, as nothing in it is shared.
     """
-    return [[F.xxhash64(F.lit(shift * bands + b), *[f"{kind}{(b + shift * k) % bands}" for k, kind in enumerate(KINDS)]) for b in range(bands)] for shift in SHIFTS]
+
+    def key(shift: int, b: int) -> Column:
+        band = [f"{kind}{(b + shift * k) % bands}" for k, kind in enumerate(KINDS)]
+        return F.when(F.coalesce(*band).isNotNull(), F.xxhash64(F.lit(shift * bands + b), *[F.coalesce(c, F.lit(0)) for c in band]))
+
+    return [[key(shift, b) for b in range(bands)] for shift in SHIFTS]
 
 
 def sketches(bands: int) -> dict[str, Column]:
@@ -103,7 +111,11 @@ def agreements(a: list[Column], b: list[Column]) -> Column:
 def alike(a: Column, b: Column, similarity: float) -> Column:
     """Whether the Jaccard similarity of two sets, given as arrays of distinct values, is reached; each is built once."""
     counts = lambda s: F.struct((F.size(s["a"]) + F.size(s["b"])).alias("n"), F.size(F.array_intersect(s["a"], s["b"])).alias("k"))
-    counted = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), counts)
+    return reached(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), counts), similarity)
+
+
+def reached(counted: Column, similarity: float) -> Column:
+    """Whether sets of ``n`` members together and ``k`` in common, in an array of one struct, have the similarity."""
     return F.exists(counted, lambda c: c["k"] / (c["n"] - c["k"]) >= similarity)
 
 
@@ -123,7 +135,7 @@ def buckets(signed: DataFrame, tables: C.Tables, bands: int) -> DataFrame:
     """
     ties, turns = W.partitionBy("key").orderBy(F.desc("often"), "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing), []
     for keys in band_keys(bands):
-        keyed = signed.select(F.col("line").alias("node"), "often", F.explode(F.array(*keys)).alias("key"))
+        keyed = signed.select(F.col("line").alias("node"), "often", F.explode(F.array(*keys)).alias("key")).where("key is not null")
         found = keyed.withColumn("center", F.first("node").over(ties)).withColumn("n", F.count("node").over(ties)).where("n > 1")
         turns.append(tables.cut(found.select("key", "node", "center"), "buckets"))
         C.release(signed.sparkSession)
@@ -171,9 +183,14 @@ def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similari
     edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(pairs))
     crowd = tables.cut(crowd, "crowd")
     if not crowd.isEmpty():
-        sets = texts.join(crowd.withColumnRenamed("node", "line"), "line").select(F.col("line").alias("node"), shingle_set(F.col("norm"), shingle).alias("s"), *sketch)
-        tokens = tables.cut(ranked(sets, similarity, sketch), "tokens")
-        edges = edges.union(similar(rare(tokens, known, similarity, plausible, sketch)))
+        sets = texts.join(crowd.withColumnRenamed("node", "line"), "line").select(F.col("line").alias("node"), line_id(F.col("norm")).alias("id"), shingle_set(F.col("norm"), shingle).alias("s"), *sketch)
+        sets = tables.cut(sets, "sets")
+        tokens = tables.cut(ranked(sets.drop("id"), similarity, sketch), "tokens")
+        met = rare(tokens, known, similarity, plausible, sketch)
+        for x in "ab":
+            met = met.join(sets.select(F.col("node").alias(x), F.col("id").alias(f"i{x}"), F.col("s").alias(f"s{x}")), x)
+        counted = F.array(F.struct((F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("k")))
+        edges = edges.union(tables.cut(met.where(reached(counted, similarity)).select(F.col("ia").alias("a"), F.col("ib").alias("b")), "links"))
     C.release(spark)
     return edges
 

@@ -104,6 +104,24 @@ def test_line_dedup_recall_by_length(spark):
         assert sum(have[2 * j + 1][0] for j in range(150 * i, 150 * (i + 1))) >= 0.99 * 150
 
 
+def test_line_signature_hashes_a_shingle_once(spark):
+    """A shingle is in one bin only; bins of nothing are null and make no key, and repeats change nothing."""
+    rows = [(1, "abcdefghi"), (2, "abcdefghijklmnop"), (3, "tiny"), (4, "abababab" * 40)]
+    found = line_dedup.lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    signed = line_dedup.signatures(found, 8, line_dedup.BANDS)
+    names = {r.line: r.doc_id for r in found.selectExpr("xxhash64(norm) line", "doc_id").collect()}
+    full = {names[r.line]: [b for b in range(line_dedup.BANDS) if r[f"min_u{b}"] is not None] for r in signed.collect()}
+    assert [1 <= len(full[d]) <= n for d, n in ((1, 2), (2, 8), (3, 1), (4, 2))] == [True] * 4
+    for r in signed.collect():
+        kinds = [[r[f"{kind}{b}"] is None for kind in line_dedup.KINDS] for b in range(line_dedup.BANDS)]
+        assert all(len(set(k)) == 1 for k in kinds)
+        assert len({r[f"min_u{b}"] for b in full[names[r.line]]} | {r[f"max_u{b}"] for b in full[names[r.line]]}) <= {1: 2, 2: 9, 3: 1, 4: 2}[names[r.line]]
+    keys = [k for turn in line_dedup.band_keys(line_dedup.BANDS) for k in turn]
+    for r in signed.select("line", *[k.alias(f"k{i}") for i, k in enumerate(keys)]).collect():
+        within = [{(b + shift * k) % 8 for k in range(4)} for shift in line_dedup.SHIFTS for b in range(8)]
+        assert [r[f"k{i}"] is None for i in range(24)] == [not w & set(full[names[r.line]]) for w in within]
+
+
 def test_line_dedup_tells_texts_of_one_id_apart(spark):
     df = spark.createDataFrame([(1, "a line that is here twice"), (1, "another line of the same id"), (2, "a line that is here twice"), (2, "a line that is here twice")], "doc_id long, text string")
     out = sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup(df.withColumnRenamed("doc_id", "doc_id")).collect())
