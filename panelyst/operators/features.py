@@ -137,11 +137,11 @@ def ewm_std(df: DataFrame, cols: Names, halflives: list[float], p: Panel = PANEL
 
 
 def ewm_skew(df: DataFrame, cols: Names, halflives: list[float], p: Panel = PANEL) -> DataFrame:
-    return df.withColumns({f"{c}_ewmskew{h}": E.ewm_skew(number(c), h, p) for c in cols for h in halflives})
+    return E.moments(df, {f"{c}_ewmskew{h}": (number(c), h) for c in cols for h in halflives}, E.skew, 3, p)
 
 
 def ewm_kurt(df: DataFrame, cols: Names, halflives: list[float], p: Panel = PANEL) -> DataFrame:
-    return df.withColumns({f"{c}_ewmkurt{h}": E.ewm_kurt(number(c), h, p) for c in cols for h in halflives})
+    return E.moments(df, {f"{c}_ewmkurt{h}": (number(c), h) for c in cols for h in halflives}, E.kurt, 4, p)
 
 
 def scale_ewm(df: DataFrame, cols: Names, halflives: list[float], p: Panel = PANEL, bound: float = 3.0) -> DataFrame:

@@ -294,3 +294,31 @@ def test_empty_panel(spark, p12):
     for out in (X.ewm(none, ["a"], [5], TIED), X.cs_zscore(none, ["a"], TIED), P.cusum(none, "a", 0.0, p=TIED), X.moving_rank(none.withColumn("dtsi", F.timestamp_micros("dtsi")), ["a"], 5, TIED)):
         assert out.count() == 0
     assert math.isnan(float("nan"))
+
+
+def test_moments_of_long_instruments_go_on_over_batches(spark):
+    rng = np.random.default_rng(5)
+    seen = [(i, i, int(rng.integers(3)) if i % 7 else None, None if i % 11 == 0 else float(rng.normal(50, 9))) for i in range(1500)]
+    df = spark.createDataFrame(seen, "seq long, dtsi long, dscode long, x double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out = X.ewm_kurt(X.ewm_skew(df, ["x"], [5, 300], TIED), ["x"], [5, 0], TIED)
+        assert out.columns == ["seq", "dtsi", "dscode", "x", "x_ewmskew5", "x_ewmskew300", "x_ewmkurt5", "x_ewmkurt0"]
+        found = {r["seq"]: r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found) == len(seen)
+    for h, name, n in ((5, "x_ewmskew5", 3), (300, "x_ewmskew300", 3), (5, "x_ewmkurt5", 4), (0, "x_ewmkurt0", 4)):
+        a, state = (1 - 0.5 ** (1 / h) if h else 0.0), {}
+        for seq, _, key, x in seen:
+            if x is None:
+                assert found[seq][name] is None
+                continue
+            r = state[key] = [(1 - a) * m + a * x**i if key in state else x**i for i, m in enumerate(state.get(key, [0] * n), 1)]
+            v = r[1] - r[0] ** 2
+            if n == 3:
+                want = (r[2] - 3 * r[1] * r[0] + 2 * r[0] ** 3) / v**1.5 if v > 1e-6 else 0.0
+            else:
+                want = (r[3] - 4 * r[2] * r[0] + 6 * r[1] * r[0] ** 2 - 3 * r[0] ** 4) / v**2 - 3 if v > 1e-6 else 0.0
+            assert v < 1 or found[seq][name] == pytest.approx(want, abs=1e-5)

@@ -47,3 +47,15 @@ def test_kurtosis_of_nearly_equal_values_is_that_of_sql(spark, tmp_path):
     for name in ("ewm_kurt", "ewm_skew"):
         found = registry.QUERIES[name](spark, str(tmp_path)).select("event_id", "v").collect()
         assert rows(found) == rows(con.sql(f"select event_id, v from ({registry.ORACLES[name]})").fetchall())
+
+
+def test_moments_are_rounded_as_in_sql(spark, tmp_path):
+    series = [(68.44, 68.22), (74.77, 73.16, 74.77), (46.76, 47.46, 46.34), (49.5, 49.96, 49.8)]
+    seen = [(3 * u + i, u, i, "a", x) for u, xs in enumerate(series) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(seen, "event_id long, user_id long, s long, event_type string, value double")
+    df.selectExpr("event_id", "user_id", "timestamp_seconds(s) AS ts", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("ewm_kurt", "ewm_skew"):
+        found = registry.QUERIES[name](spark, str(tmp_path)).select("event_id", "v").collect()
+        assert rows(found) == rows(con.sql(f"select event_id, v from ({registry.ORACLES[name]})").fetchall())
