@@ -130,13 +130,16 @@ def buckets(signed: DataFrame, tables: C.Tables, bands: int) -> DataFrame:
     """Lines (node) that share a band key with others, and a center of each key: the line with most in its copies.
 
     Of lines that differ a little from one another that is likely the one that
-    they all come from. The bands are dealt out in one turn a shift, so that only
-    a part of their rows is between tasks at a time.
+    they all come from. Only members of shared keys are put in order. The bands are
+    dealt out in one turn a shift, so that only a part of their rows is between
+    tasks at a time.
     """
-    ties, turns = W.partitionBy("key").orderBy(F.desc("often"), "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing), []
+    alone = W.partitionBy("key")
+    ties, turns = alone.orderBy(F.desc("often"), "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing), []
     for keys in band_keys(bands):
         keyed = signed.select(F.col("line").alias("node"), "often", F.explode(F.array(*keys)).alias("key")).where("key is not null")
-        found = keyed.withColumn("center", F.first("node").over(ties)).withColumn("n", F.count("node").over(ties)).where("n > 1")
+        met = keyed.withColumn("n", F.count("node").over(alone)).where("n > 1")  # most keys go here, by a sort of one column
+        found = met.withColumn("center", F.first("node").over(ties))
         turns.append(tables.cut(found.select("key", "node", "center"), "buckets"))
         C.release(signed.sparkSession)
     return reduce(DataFrame.union, turns)

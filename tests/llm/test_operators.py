@@ -389,3 +389,12 @@ def test_added_kinds_and_empty_tables(spark, tmp_path):
     found = secrets.scan(rows, str(tmp_path / "a")).first().found
     assert [(s.kind, text[s.start : s.stop]) for s in found] == list(zip(("private_key", "web_token", "hosted_token"), parts))
     assert secrets.scan(rows.limit(0), str(tmp_path / "b")).collect() == []
+
+
+def test_buckets_have_shared_keys_only_and_their_most_frequent_line_as_centre(spark):
+    names = line_dedup.coordinates(4)
+    seen = [(line, often, *[base] * len(names)) for line, often, base in ((5, 2, 1), (3, 2, 1), (9, 1, 1), (4, 7, 2), (8, 1, 3), (7, 6, 3))]
+    signed = spark.createDataFrame(seen, "line long, often long, " + ", ".join(f"{n} int" for n in names))
+    found = line_dedup.buckets(signed, C.Tables(spark, "test"), 4).collect()
+    assert {(r["node"], r["center"]) for r in found} == {(3, 3), (5, 3), (9, 3), (7, 7), (8, 7)}
+    assert len(found) == 5 * 4 * len(line_dedup.SHIFTS)
