@@ -58,12 +58,12 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.root}/{len(self.made) + 1:03d}-{name}"
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, **options) -> DataFrame:
         path = self.path(name)
         before = self.spark.conf.get(BATCH, None)
         self.spark.conf.set(BATCH, BATCH_ROWS)
         try:
-            df.write.parquet(path)
+            df.write.options(**options).parquet(path)
         finally:
             self.spark.conf.unset(BATCH) if before is None else self.spark.conf.set(BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)

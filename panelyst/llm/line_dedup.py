@@ -26,7 +26,11 @@ SHINGLE = 8
 BANDS, SHIFTS = 8, (1, 2, 3)
 SIMILARITY = 0.8
 #: Shingles cut from one slice of a line, so that a long line is not carried along with each of its shingles.
-RUN = 64
+RUN = 256
+#: How tables of hashes are written: a dictionary of them is larger than they are, and is built in vain.
+HASHES = {"parquet.enable.dictionary": "false"}
+#: Bits of the filter that says which lines can be of use; 8 MB are broadcast at any size of the corpus.
+BITS = 1 << 26
 
 
 BLANKS = " \t\x0b\x0c\r"
@@ -49,7 +53,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
-    """The coordinates of every distinct line, four bytes each, and its shingles in all its copies (often).
+    """The coordinates of every distinct line, four bytes each, its copies, and the shingles in all of them (often).
 
     The signature sees all shingles that the exact similarity sees. One hash
     deals them out to bins; the least and the greatest of its upper and of its
@@ -59,13 +63,13 @@ def signatures(found: DataFrame, shingle: int, bands: int) -> DataFrame:
     """
     starts = lambda u: F.sequence(F.lit(0), F.greatest(F.octet_length(u) / 4 - shingle, F.lit(0)).cast("int"), F.lit(RUN))
     runs = lambda u: F.transform(starts(u), lambda i: F.substring(u, i * 4 + 1, F.lit(4 * (RUN + shingle - 1))))
-    cut = found.select(F.xxhash64("norm").alias("line"), F.explode(F.transform(F.array(F.encode("norm", "UTF-32")), runs)[0]).alias("u"))
-    places = cut.select("line", "u", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("u") / 4 - shingle, F.lit(0)).cast("int"))).alias("i"))
-    each = places.select("line", F.xxhash64(F.substring("u", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("h"))
-    halves = each.select("line", F.expr("h >> 32").alias("u"), F.expr("(h & 4294967295) - 2147483648").alias("l"), F.pmod(F.shiftright("h", 32), F.lit(bands)).cast("int").alias("bin"))
+    cut = found.select(F.xxhash64("norm").alias("line"), F.posexplode(F.transform(F.array(F.encode("norm", "UTF-32")), runs)[0]).alias("run", "u"))
+    places = cut.select("line", "run", "u", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("u") / 4 - shingle, F.lit(0)).cast("int"))).alias("i"))
+    each = places.select("line", (F.col("run") + F.col("i")).alias("at"), F.xxhash64(F.substring("u", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("h"))
+    halves = each.select("line", "at", F.expr("h >> 32").alias("u"), F.expr("(h & 4294967295) - 2147483648").alias("l"), F.pmod(F.shiftright("h", 32), F.lit(bands)).cast("int").alias("bin"))
     of_bin = lambda c, b: F.expr(f"{c.replace('_', '(')}) filter (where bin = {b})")
-    signed = halves.groupBy("line").agg(*[of_bin(kind, b).alias(f"{kind}{b}") for b in range(bands) for kind in KINDS], F.count("line").alias("often"))
-    return signed.select("line", "often", *[F.col(c).cast("int").alias(c) for c in coordinates(bands)])
+    signed = halves.groupBy("line").agg(*[of_bin(kind, b).alias(f"{kind}{b}") for b in range(bands) for kind in KINDS], F.count("line").alias("often"), F.expr("count(line) filter (where at = 0)").alias("copies"))
+    return signed.select("line", "often", "copies", *[F.col(c).cast("int").alias(c) for c in coordinates(bands)])
 
 
 KINDS = [f"{f}_{n}" for n in "ul" for f in ("min", "max")]
@@ -108,22 +112,36 @@ def agreements(a: list[Column], b: list[Column]) -> Column:
     return total
 
 
-def alike(a: Column, b: Column, similarity: float) -> Column:
-    """Whether the Jaccard similarity of two sets, given as arrays of distinct values, is reached; each is built once."""
-    counts = lambda s: F.struct((F.size(s["a"]) + F.size(s["b"])).alias("n"), F.size(F.array_intersect(s["a"], s["b"])).alias("k"))
-    return reached(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), counts), similarity)
+def alike(pairs: DataFrame, a: str, b: str, similarity: float) -> DataFrame:
+    """The pairs whose shingles, arrays in two columns, have the Jaccard similarity.
+
+    Both counts are made once and in compiled code: no condition moves before the
+    explosion of the one array, and none of it is a lambda, in which sets would be of boxed values.
+    """
+    counts = F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("any"))
+    return pairs.withColumn("counts", F.explode(F.array(counts))).where(F.col("counts")["both"] / F.col("counts")["any"] >= similarity)
 
 
-def reached(counted: Column, similarity: float) -> Column:
-    """Whether sets of ``n`` members together and ``k`` in common, in an array of one struct, have the similarity."""
-    return F.exists(counted, lambda c: c["k"] / (c["n"] - c["k"]) >= similarity)
+def shingles(norm: Column, shingle: int) -> Column:
+    """All character shingles, hashed; a shorter line is one shingle. In UTF-32 a shingle is a slice of bytes."""
+    at = F.sequence(F.lit(1), F.greatest(F.char_length(norm) - shingle, F.lit(0)) * 4 + 1, F.lit(4))
+    hashed = lambda u: F.transform(at, lambda i: F.xxhash64(F.substring(u, i, F.lit(4 * shingle))))
+    return F.transform(F.array(F.encode(norm, "UTF-32")), hashed)[0]
 
 
-def shingle_set(norm: Column, shingle: int) -> Column:
-    """All distinct character shingles, hashed; a shorter line is one shingle. In UTF-32 a shingle is a slice of bytes."""
-    at = F.sequence(F.lit(0), F.greatest(F.char_length(norm) - shingle, F.lit(0)))
-    hashed = lambda u: F.transform(at, lambda i: F.xxhash64(F.substring(u, i * 4 + 1, F.lit(4 * shingle))))
-    return F.array_distinct(F.transform(F.array(F.encode(norm, "UTF-32")), hashed)[0])
+def marked(rows: DataFrame, line: Column, lines: DataFrame) -> DataFrame:
+    """The rows whose ``line`` (long) is among ``lines``, and a share of the others: one bit a line says so.
+
+    Filters rows where they are read, so that most of them, of lines that meet no
+    other, are not moved at all.
+    """
+    slot = lambda c: F.pmod(c, F.lit(BITS)) + 1
+    table = lines.select(slot(F.col("line")).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    x, part, bits = (C.free(n, rows) for n in ("slot", "part", "bits"))
+    given = rows.withColumn(x, slot(line)).join(F.broadcast(table.toDF(part, bits)), F.bitmap_bucket_number(x) == F.col(part))
+    at = F.bitmap_bit_position(x)
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return given.where(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1).select(*rows.columns)
 
 
 def buckets(signed: DataFrame, tables: C.Tables, bands: int) -> DataFrame:
@@ -140,13 +158,13 @@ def buckets(signed: DataFrame, tables: C.Tables, bands: int) -> DataFrame:
         keyed = signed.select(F.col("line").alias("node"), "often", F.explode(F.array(*keys)).alias("key")).where("key is not null")
         met = keyed.withColumn("n", F.count("node").over(alone)).where("n > 1")  # most keys go here, by a sort of one column
         found = met.withColumn("center", F.first("node").over(ties))
-        turns.append(tables.cut(found.select("key", "node", "center"), "buckets"))
+        turns.append(tables.cut(found.select("key", "node", "center"), "buckets", **HASHES))
         C.release(signed.sparkSession)
     return reduce(DataFrame.union, turns)
 
 
-def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similarity: float) -> DataFrame:
-    """Pairs of lines that connect the components of similar candidates.
+def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs of lines that connect the components of similar candidates, and the places of all lines that may have others beside them.
 
     Within a bucket, all lines are first compared with the bucket's centre.
     A bucket whose lines are then of one component is done, in rows in
@@ -156,14 +174,18 @@ def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similari
     the similarity out (five standard errors) are not compared exactly.
     """
     spark = found.sparkSession
-    signed = tables.cut(signatures(found, shingle, bands), "signatures")
+    signed = tables.cut(signatures(found, shingle, bands), "signatures", **HASHES)
     C.release(spark)
     active = buckets(signed, tables, bands)
     sketch = [*sketches(bands)]
     shared = tables.cut(signed.select("line", *[c.alias(n) for n, c in sketches(bands).items()]).join(active.select(F.col("node").alias("line")).distinct(), "line"), "shared")
+    C.release(spark)
+    again = signed.where("copies > 1").select("line").union(shared.select("line"))
+    at = found.select("doc_id", "t", "pos", line_id(F.col("norm")).alias("line"), "norm")
+    at = tables.cut(marked(at, F.col("line")["h"], again), "places")
     tables.drop(signed)
     C.release(spark)
-    texts = found.select(F.xxhash64("norm").alias("line"), "norm").join(shared.hint("merge"), "line").distinct()  # the same plan at every size
+    texts = at.select(F.col("line")["h"].alias("line"), "norm").join(shared.hint("merge"), "line").distinct()  # the same plan at every size
     texts = tables.cut(texts, "texts")
     tables.drop(shared)
     C.release(spark)
@@ -177,8 +199,12 @@ def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similari
         for x in "ab":
             pairs = pairs.join(texts.select(F.col("line").alias(x), F.col("norm").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in sketch]), x)
         near = pairs.where(plausible(*[[F.col(f"{c}{x}") for c in sketch] for x in "ab"]))
-        good = near.where(alike(shingle_set(F.col("na"), shingle), shingle_set(F.col("nb"), shingle), similarity))
-        return tables.cut(good.select(line_id(F.col("na")).alias("a"), line_id(F.col("nb")).alias("b")), "links")
+        each = F.struct(*[shingles(F.col(f"n{x}"), shingle).alias(f"s{x}") for x in "ab"])
+        sets = near.select("na", "nb", F.explode(F.array(each)).alias("s")).select("na", "nb", "s.*")
+        good = alike(sets, "sa", "sb", similarity)
+        out = tables.cut(good.select(line_id(F.col("na")).alias("a"), line_id(F.col("nb")).alias("b")), "links")
+        C.release(spark)
+        return out
 
     roots = tables.cut(components(similar(active.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()), tables), "roots")
     known = roots.select(F.col("node")["h"].alias("node"), F.col("root")["h"].alias("root"))
@@ -186,28 +212,32 @@ def links(found: DataFrame, tables: C.Tables, shingle: int, bands: int, similari
     edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(pairs))
     crowd = tables.cut(crowd, "crowd")
     if not crowd.isEmpty():
-        sets = texts.join(crowd.withColumnRenamed("node", "line"), "line").select(F.col("line").alias("node"), line_id(F.col("norm")).alias("id"), shingle_set(F.col("norm"), shingle).alias("s"), *sketch)
+        sets = texts.join(crowd.withColumnRenamed("node", "line"), "line").select(F.col("line").alias("node"), line_id(F.col("norm")).alias("id"), F.array_distinct(shingles(F.col("norm"), shingle)).alias("s"), *sketch)
         sets = tables.cut(sets, "sets")
         tokens = tables.cut(ranked(sets.drop("id"), similarity, sketch), "tokens")
-        met = rare(tokens, known, similarity, plausible, sketch)
+        C.release(spark)
+        met = tables.cut(rare(tokens, known, similarity, plausible, sketch), "met")
+        tables.drop(tokens)
+        C.release(spark)
         for x in "ab":
             met = met.join(sets.select(F.col("node").alias(x), F.col("id").alias(f"i{x}"), F.col("s").alias(f"s{x}")), x)
-        counted = F.array(F.struct((F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("k")))
-        edges = edges.union(tables.cut(met.where(reached(counted, similarity)).select(F.col("ia").alias("a"), F.col("ib").alias("b")), "links"))
+        edges = edges.union(tables.cut(alike(met, "sa", "sb", similarity).select(F.col("ia").alias("a"), F.col("ib").alias("b")), "links"))
+    tables.drop(texts)
     C.release(spark)
-    return edges
+    return edges, at.drop("norm")
 
 
 def removals(docs: DataFrame, tables: C.Tables, shingle: int = SHINGLE, bands: int = BANDS, similarity: float = SIMILARITY) -> DataFrame:
     """Positions (gone) of the lines that go, as one list per document: per id and digest of its text (t)."""
     found = lines(docs.select("doc_id", "text").where("doc_id is not null"))
-    edges = links(found, tables, shingle, bands, similarity)
+    edges, at = links(found, tables, shingle, bands, similarity)
     roots = components(edges, tables)
-    at = tables.cut(found.select("doc_id", "t", "pos", line_id(F.col("norm")).alias("line")), "places")
+    C.release(docs.sparkSession)
     each = at.groupBy("line").agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"), F.count("pos").alias("n"))
     each = each.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     heads = each.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("root", "first")
     known = tables.cut(each.select("line", "root").join(heads, "root").select("line", "first"), "heads")
+    C.release(docs.sparkSession)
     gone = at.join(known, "line").where("struct(doc_id, t, pos) <> first")
     out = tables.cut(gone.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("gone")), "gone")
     tables.keep_only(out)

@@ -1,5 +1,6 @@
 """Each operator against its plain restatement, on the smallest tables and on awkward rows."""
 
+import pyspark.sql.functions as F
 import pytest
 
 from panelyst.llm import decontaminate, langid, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, registry, secrets, substring_dedup, token_counts
@@ -122,6 +123,34 @@ def test_line_signature_hashes_a_shingle_once(spark):
         assert [r[f"k{i}"] is None for i in range(24)] == [not w & set(full[names[r.line]]) for w in within]
 
 
+def test_line_dedup_moves_only_lines_that_meet_others(spark):
+    """Places are kept of repeated lines and of those that share a key, of all their copies, and hardly of others."""
+    many = [(k, f"{k * 7919 % 100003:05d}{k * 104729 % 999983:06d}{k * 1299709 % 15485863:08d}") for k in range(1, 301)]
+    rows = [*many, (901, "one line that is here twice"), (902, "one line that is here twice\nand once"), (903, "like another of its kind a"), (904, "like another of its kind b")]
+    found = line_dedup.lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    signed = {r.line: r.copies for r in line_dedup.signatures(found, 8, line_dedup.BANDS).collect()}
+    names = {r.line: r.norm for r in found.selectExpr("xxhash64(norm) line", "norm").collect()}
+    assert {names[n]: c for n, c in signed.items() if c > 1} == {"one line that is here twice": 2}
+    edges, at = line_dedup.links(found, C.Tables(spark, "test"), 8, line_dedup.BANDS, 0.8)
+    kept = sorted((r.doc_id, r.pos) for r in at.collect())
+    assert {(901, 0), (902, 0), (903, 0), (904, 0)} <= set(kept) and len(kept) == len(set(kept)) < 100
+    assert edges.where("a <> b").select(F.least("a", "b"), F.greatest("a", "b")).distinct().count() == 1
+    wanted = found.where("doc_id % 3 = 0").select(F.xxhash64("norm").alias("line"))
+    marked = {r.doc_id for r in line_dedup.marked(found, F.xxhash64("norm"), wanted).collect()}
+    assert {d for d, _ in rows if d % 3 == 0} <= marked and len(marked) < 110
+    assert line_dedup.marked(found, F.xxhash64("norm"), wanted.limit(0)).count() == 0
+
+
+def test_line_similarity_counts_distinct_shingles(spark):
+    """The same verdict as on Python's sets: repeated shingles, lines shorter than one, letters of several bytes, and exactly 0.8."""
+    lines = ["abababababab" * 3, "abababababab" * 5, "tiny", "tinY", "äöü€😀" * 4, "äöü€😀" * 4 + "x", "abcdefghijk", "abcdefghijkl", "zyxwvutsrqponmlk", "zyxwvutsrqponmlkj"]
+    pairs = spark.createDataFrame([(a, b) for a in lines for b in lines], "na string, nb string")
+    sets = pairs.select("na", "nb", *[line_dedup.shingles(F.col(f"n{x}"), 8).alias(f"s{x}") for x in "ab"])
+    of = {s: {s[i : i + 8] for i in range(max(1, len(s) - 7))} for s in lines}
+    want = {(a, b) for a in lines for b in lines if len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])}
+    assert {(r.na, r.nb) for r in line_dedup.alike(sets, "sa", "sb", 0.8).collect()} == want
+
+
 def test_line_dedup_tells_texts_of_one_id_apart(spark):
     df = spark.createDataFrame([(1, "a line that is here twice"), (1, "another line of the same id"), (2, "a line that is here twice"), (2, "a line that is here twice")], "doc_id long, text string")
     out = sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup(df.withColumnRenamed("doc_id", "doc_id")).collect())
